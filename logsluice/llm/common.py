@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +92,15 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0]
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of joined() texts, one after another, and the number of words of each text.
-
-    A word's hash depends on its bytes alone: a polynomial over them modulo 2**64, taken from running sums and scrambled.
-    """
-    if lower:
-        data = _LOWER[data]
-    edge = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=True))
+def word_spans(data: np.ndarray, ends: np.ndarray, gaps: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of joined() texts begin and end, and how many each text has. gaps: by byte, whether it parts words."""
+    edge = np.flatnonzero(np.diff(gaps[data], prepend=True))
     begin, end = edge[0::2], edge[1::2]
-    counts = np.diff(np.searchsorted(begin, ends), prepend=0)
+    return begin, end, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each span: a polynomial over them modulo 2**64, taken from running sums and scrambled."""
     out = np.empty(len(begin), dtype=np.uint64)
     # In slices of whole words, so that the powers stay small; a word longer than a slice gets a slice of its own.
     step = 1 << 20
@@ -115,7 +115,15 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tupl
         b, e = begin[first:last] - lo, end[first:last] - lo
         out[first:last] = mix64((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
         first = last
-    return out, counts
+    return out
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of joined() texts, one after another, and the number of words of each text."""
+    if lower:
+        data = _LOWER[data]
+    begin, end, counts = word_spans(data, ends)
+    return span_hashes(data, begin, end), counts
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -132,3 +140,21 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sampled_rows(rows: DataFrame, by: str, most: int, id_col: str, seed: int = 3) -> DataFrame:
+    """About `most` rows for each value of `by`, or all where there are fewer, chosen by a hash of the id: a training sample."""
+    n = rows.groupBy(F.col(by).alias("by_")).agg(F.count("*").alias("n_"))
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n_"))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30)
+    return rows.join(F.broadcast(n.orderBy(F.desc("n_"), "by_").limit(1000)), F.col(by) == F.col("by_")).where(chosen).drop("by_", "n_")
+
+
+def in_slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` bytes of text each, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)

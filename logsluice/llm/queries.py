@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import license_scan, mixing, packing, quality_rules
+from logsluice.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality_cnn, quality_rules, toxicity
 from logsluice.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(parts: int, part: int, id_col: str = "doc_id") -> Column:
+    """Rows that no model learns from; a null id belongs to neither side, so it is not learnt from either."""
+    return F.crc32(F.col(id_col).cast("string")) % parts == part
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = language_id.training_texts(docs.where(~held_out(4, 2)))
+    return language_id.identify(docs, texts).select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license_scan.scan(table(spark, sf_dir, "documents"))
@@ -37,6 +49,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(~held_out(5, 0)), "doc_id")
+    got = toxicity.score(docs, toxicity.train(labelled))
+    return got.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
@@ -48,9 +68,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+@query
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality").where(~held_out(4, 2)), "doc_id")
+    got = quality_cnn.classify(docs, quality_cnn.train(labelled))
+    return got.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 __all__ = ["ORACLES", "QUERIES"]
