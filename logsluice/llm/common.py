@@ -158,3 +158,53 @@ def in_slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.Record
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def sent_by_bucket(bucket: np.ndarray, *fields: np.ndarray) -> list[tuple[int, bytes]]:
+    """Rows of equally long fields as one (bucket, bytes) for each bucket, field after field, in the order they come."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_, fields = bucket[order], tuple(np.ascontiguousarray(f[order]) for f in fields)
+    cuts = [*np.flatnonzero(np.diff(sorted_, prepend=-1)).tolist(), len(order)]
+    return [(int(sorted_[a]), b"".join(f[a:b].tobytes() for f in fields)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def received(payloads: list[bytes], *kinds: str) -> tuple[np.ndarray, ...]:
+    """The fields of all payloads, one after another."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=k)] for k in kinds]
+    for p in payloads:
+        n, at = len(p) // sum(sizes), 0
+        for i, (k, size) in enumerate(zip(kinds, sizes, strict=True)):
+            parts[i].append(np.frombuffer(p, dtype=k, count=n, offset=at))
+            at += n * size
+    return tuple(np.concatenate(x) for x in parts)
+
+
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The same purpose as window_hashes(), from running sums: for wide windows. Two independent calls give independent hashes if words differ."""
+    out = np.empty(max(0, len(words) - width + 1), dtype=np.uint64)
+    step = 1 << 20
+    up, down = _powers_to(2 * step)
+    for a in range(0, len(out), step):
+        part = words[a : min(a + step, len(out)) + width - 1]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        n = len(part) - width + 1
+        out[a : a + n] = mix64((sums[width:] - sums[:n]) * down[:n])
+    return out
+
+
+def bucket_of_id(ids: np.ndarray, n: int) -> np.ndarray:
+    """The same as pmod(xxhash64(id), n) in SQL, for bigint ids."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # constants of xxHash64
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+    x = np.ascontiguousarray(ids, dtype=np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42 + 8) + p5) ^ turned(x * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+    return np.mod((h ^ h >> np.uint64(32)).view(np.int64), np.int64(n))
