@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality_cnn, quality_rules, substring_dedup, toxicity
+from logsluice.llm import embedding_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality_cnn, quality_rules, substring_dedup, toxicity
 from logsluice.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,4 +92,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 __all__ = ["ORACLES", "QUERIES"]
