@@ -23,6 +23,11 @@ def columns(df: DataFrame, **wanted: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(n) for n, (c, t) in wanted.items()])
 
 
+def kept_columns(df: DataFrame, keep: tuple[str, ...]) -> dict[str, tuple[str, str]]:
+    """For columns(): those that an operator carries along, under names that can't clash."""
+    return {f"keep_{i}": (c, df.schema[c].dataType.simpleString()) for i, c in enumerate(keep)}
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

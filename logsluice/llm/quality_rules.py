@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import SPACE, columns, words_of, written
+from logsluice.llm.common import SPACE, columns, kept_columns, words_of, written
 
 #: measure: (numerator, least spread, bounded below too). Per thousand words; mean_length in hundredths of a character.
 MEASURES = {
@@ -32,6 +32,8 @@ MEASURES = {
 BASE = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 #: Quantiles read from a sketch, in thousandths.
 LOW, MIDDLE, HIGH = 100, 500, 900
+#: Groups (rows of eleven numbers) up to which their bounds are broadcast.
+SMALL = 10_000
 
 
 def bin_of(v: Column) -> Column:
@@ -40,13 +42,14 @@ def bin_of(v: Column) -> Column:
     return F.when(v < 64, v).otherwise(v - v % width)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", window: int = 5) -> DataFrame:
-    """doc_id, lang, source and the counts of each text, all within its row."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", window: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source and the counts of each text, all within its row; the columns of `keep` as keep_0, keep_1 ..."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    df = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"), lang=(lang_col, "string"), source=(source_col, "string"))
+    df = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"), lang=(lang_col, "string"), source=(source_col, "string"), **kept_columns(docs, keep))
+    carried = [f"keep_{i}" for i in range(len(keep))]
     df = df.select(
-        "doc_id", "lang", "source", words_of(text).alias("words"), lines.alias("lines"),
+        "doc_id", "lang", "source", *carried, words_of(text).alias("words"), lines.alias("lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         (F.length(text) - F.length(F.regexp_replace(text, f"[^{SPACE}]+", ""))).cast("long").alias("word_chars"),
@@ -61,7 +64,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     # Each window covers words up to the next one's start, the last all of its own.
     cover = F.aggregate(F.transform("found", lambda x, j: F.least(F.lit(window), F.coalesce(F.get(F.col("found"), j + 1) - x, F.lit(window)))), F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(
-        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "lang", "source", *carried, F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"), "n_capitals",
     )
@@ -107,14 +110,16 @@ def thresholds(rows: DataFrame, spread: int, min_group: int) -> DataFrame:
     return joined.groupBy("lang_0", "source_0").agg(*named)
 
 
-def judge(docs: DataFrame, *, spread: int = 3, min_group: int = 100, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, the base counts, the measures, base_failed, failed (names of the adaptive rules), kept."""
-    rows = measured(docs, id_col, text_col, lang_col, source_col)
+def judge(docs: DataFrame, *, spread: int = 3, min_group: int = 100, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the base counts, the measures, base_failed, failed (names of the adaptive rules), kept; then the columns of `keep`."""
+    rows = measured(docs, id_col, text_col, lang_col, source_col, keep=keep)
     rows = written(rows.select("*", *[F.expr(f"({up}) div greatest(n_words, 1)").alias(m) for m, (up, _, _) in MEASURES.items()]))
-    bounds = thresholds(rows, spread, min_group)
+    bounds = written(thresholds(rows, spread, min_group))
+    if bounds.limit(SMALL + 1).count() <= SMALL:  # else the join is Spark's to choose
+        bounds = F.broadcast(bounds)
     out = rows.join(bounds, rows["lang"].eqNullSafe(bounds["lang_0"]) & rows["source"].eqNullSafe(bounds["source_0"]), "left")
     failed = F.array_compact(F.array(*[F.when((F.col(m) > F.col(f"{m}_above")) | (F.col(m) < F.col(f"{m}_below")), F.lit(m)) for m in MEASURES]))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumns({"failed": failed, "base_failed": base})
-    return out.select("doc_id", *BASE, *MEASURES, "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
+    return out.select("doc_id", *BASE, *MEASURES, "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import bucket_of_id, columns, in_slices, joined, mix64, partitions_for, received, run_hashes, sent_by_bucket, word_hashes
+from logsluice.llm.common import bucket_of_id, columns, in_slices, joined, kept_columns, mix64, partitions_for, received, run_hashes, sent_by_bucket, word_hashes
 
 ROUNDS = 2
 #: Words that a passage may lose on either side: in round k up to 2**k to a run and 2**k to a pair.
@@ -211,7 +211,7 @@ def remove(docs: DataFrame, *, window: int = 50, buckets: int | None = None, id_
     if window < 2 * LOSS + 2 ** (ROUNDS + 2):
         raise ValueError("windows are too short for so many rounds")
     buckets = buckets or 8 * partitions_for(docs)
-    df = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **{f"keep_{i}": (c, docs.schema[c].dataType.simpleString()) for i, c in enumerate(keep)})
+    df = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **kept_columns(docs, keep))
     # Documents without an id go to any bucket.
     dealt = df.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(buckets)).cast("int"))
     fields = df.select("doc_id", *[f"keep_{i}" for i in range(len(keep))]).schema
