@@ -105,7 +105,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, block_dims: int
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     counted = written(counted)
     # A group is named by a whole number of its own; components are found among these, then named by their smallest id.
-    links = counted.where("root IS NOT NULL").select(F.col("h").alias("a"), F.col("root").alias("b"))
+    links = counted.where("root <> h").select(F.col("h").alias("a"), F.col("root").alias("b"))
     component = components(links)
     named = groups.join(component, groups["h"] == component["node"], "left").select("h", "g", "first_id", "copies", F.coalesce("component", "h").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, block_dims: int
 
 
 def _joined(groups: DataFrame, n: dict[int, int], cosine: float, block_dims: int, seed: int) -> DataFrame:
-    """h, links (vectors of other groups it links with, in one task), root (a group of its component in that task)."""
+    """h, links (vectors of other groups it links with, in one task), root (the least group of its component in that task)."""
     cells = {dims: max(1, math.ceil(k / CELL)) for dims, k in n.items()}
     count = F.create_map(*[F.lit(x) for pair in cells.items() for x in pair])[F.col("dims")]
     rows = groups.select("h", "copies", "v", "dims", count.alias("cells"), F.pmod("g", count).cast("int").alias("cell"))
@@ -145,7 +145,9 @@ def _joined(groups: DataFrame, n: dict[int, int], cosine: float, block_dims: int
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         links = np.bincount(at, weights=np.concatenate([copies[-1][j], copies[0][i]]), minlength=len(nodes)).astype(np.int64)
         child, root = spanning(a, b)
-        return pd.DataFrame({"h": nodes, "links": links}).merge(pd.DataFrame({"h": child, "root": root}), on="h", how="left").astype({"root": "Int64"})
+        of = nodes.copy()
+        of[np.searchsorted(nodes, child)] = root
+        return pd.DataFrame({"h": nodes, "links": links, "root": of})
 
     parts = partitions_for(groups)
     one = rows.groupBy("dims", "cell").applyInPandas(packed, "dims int, one int, two int, cell int, ids binary, copies binary, v binary")

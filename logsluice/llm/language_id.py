@@ -99,7 +99,7 @@ class Automata:
     #: Symbol by code point.
     symbol: np.ndarray
     symbols: int
-    #: For each language the completed table: next state times symbols, the sign bit where a phrase ends before this symbol.
+    #: For each language the completed table: next state times symbols, the sign bit where this symbol begins a phrase.
     tables: list[np.ndarray]
     bits: list[float]
 
@@ -116,8 +116,10 @@ class Automata:
         for lang in languages:
             seq = _gaps_closed(symbol[code_points([texts[lang]])[0]])
             to = suffix_automaton(seq.tolist(), symbols)
-            root = np.maximum(to[0], 0)
-            table = np.where(to >= 0, to, root[None, :]).astype(np.int32) * symbols
+            # After the states comes one in which every symbol starts a phrase: where a parse begins, and after an unseen symbol.
+            to = np.concatenate([to, np.full((1, symbols), -1, dtype=np.int32)])
+            anew = np.where(to[0] >= 0, to[0], len(to) - 1)
+            table = np.where(to >= 0, to, anew[None, :]).astype(np.int32) * symbols
             table[to < 0] |= np.int32(-(1 << 31))
             tables.append(table.ravel())
             bits.append(math.log2(max(2, len(seq))))
@@ -147,8 +149,8 @@ class Automata:
             block = seq[at]
             live = np.searchsorted(-size, -np.arange(longest), side="left")
             for k, table in enumerate(self.tables):
-                state = np.zeros(len(lanes), dtype=np.int32)
-                ended = np.ones(len(lanes), dtype=np.int32)
+                state = np.full(len(lanes), len(table) - self.symbols, dtype=np.int32)
+                begun = np.zeros(len(lanes), dtype=np.int32)
                 v = np.empty(len(lanes), dtype=np.int32)
                 for t in range(longest):
                     m = live[t]
@@ -157,8 +159,8 @@ class Automata:
                     np.take(table, s, out=w, mode="clip")
                     np.bitwise_and(w, 0x7FFFFFFF, out=s)
                     np.right_shift(w, 31, out=w)
-                    np.subtract(ended[:m], w, out=ended[:m])
-                out[:, k] += np.bincount(owner[lanes], weights=ended, minlength=len(texts))
+                    np.subtract(begun[:m], w, out=begun[:m])
+                out[:, k] += np.bincount(owner[lanes], weights=begun, minlength=len(texts))
         return out, n, has_letter
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
