@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -155,6 +156,18 @@ def sampled_rows(rows: DataFrame, by: str, most: int, id_col: str, seed: int = 3
     return rows.join(F.broadcast(n.orderBy(F.desc("n_"), "by_").limit(1000)), F.col(by) == F.col("by_")).where(chosen).drop("by_", "n_")
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, longest: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
+    """Texts of at most `longest` characters with a label 0 or 1, about `rows` of each; their labels.
+
+    The labels are sampled first, so that it is these few ids that are broadcast, and texts are read but not shuffled.
+    """
+    chosen = columns(labels, of_=(id_col, "long"), y_=(label_col, "int")).where("y_ IN (0, 1) AND of_ IS NOT NULL")
+    chosen = sampled_rows(chosen, "y_", rows, "of_").orderBy(F.xxhash64(F.lit(5), "of_"), "y_").limit(rows * 3)
+    texts = columns(docs, id_=(id_col, "long"), text_=(text_col, "string")).where(F.length("text_") <= longest)
+    got = texts.join(F.broadcast(chosen), F.col("id_") == F.col("of_")).select("id_", "text_", "y_").orderBy(F.xxhash64(F.lit(5), "id_"), "text_", "y_").limit(rows * 4).collect()
+    return [r["text_"] for r in got], np.array([r["y_"] for r in got], dtype=np.int64)
+
+
 def in_slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `most` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

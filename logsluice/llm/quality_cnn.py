@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns, in_slices, joined, sampled_rows
+from logsluice.llm.common import columns, in_slices, joined, labelled_texts
 from logsluice.llm.nn import Adam, Params, normal, sigmoid
 
 CHUNK, HOP = 256, 192
@@ -157,15 +156,12 @@ def scores(p: Params, texts: pa.Array) -> np.ndarray:
     return combined(p, most, (total / np.maximum(count, 1)[:, None]).astype(np.float32))[0].astype(np.float64)
 
 
-def train(labelled: DataFrame, *, rows: int = 1500, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Params | float:
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = 1500, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Params | float:
     """Weights from about `rows` texts of each label of at most `longest` characters; a number where one label is missing."""
-    df = columns(labelled, id_=(id_col, "long"), text_=(text_col, "string"), y_=(label_col, "int")).where("y_ IN (0, 1) AND text_ IS NOT NULL")
-    df = sampled_rows(df, "y_", rows, "id_").where(F.length("text_") <= longest)
-    got = df.orderBy(F.xxhash64(F.lit(5), "id_"), "text_", "y_").limit(rows * 3).collect()
-    y = np.array([r["y_"] for r in got])
+    texts, y = labelled_texts(docs, labels, label_col, rows, longest, id_col, text_col)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    return fit([r["text_"] for r in got], y, **how)
+    return fit(texts, y, **how)
 
 
 def classify(docs: DataFrame, model: Params | float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

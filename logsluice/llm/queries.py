@@ -52,8 +52,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where(~held_out(5, 0)), "doc_id")
-    got = toxicity.score(docs, toxicity.train(labelled))
+    got = toxicity.score(docs, toxicity.train(docs, labels.where(~held_out(5, 0))))
     return got.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -77,8 +76,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality").where(~held_out(4, 2)), "doc_id")
-    got = quality_cnn.classify(docs, quality_cnn.train(labelled))
+    got = quality_cnn.classify(docs, quality_cnn.train(docs, labels.where(~held_out(4, 2))))
     return got.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

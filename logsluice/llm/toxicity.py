@@ -24,9 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns, in_slices, joined, mix64, sampled_rows, span_hashes, word_spans
+from logsluice.llm.common import columns, in_slices, joined, labelled_texts, mix64, span_hashes, word_spans
 from logsluice.llm.nn import Adam, Params, normal, sigmoid
 
 WINDOW, HOP = 24, 12
@@ -272,15 +271,12 @@ def _part(w: Words, used: np.ndarray) -> Words:
     return part
 
 
-def train(labelled: DataFrame, *, rows: int = 2000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> tuple[Params, np.ndarray] | float:
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = 2000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> tuple[Params, np.ndarray] | float:
     """The network from about `rows` texts of each label of at most `longest` characters; a number where one label is missing."""
-    df = columns(labelled, id_=(id_col, "long"), text_=(text_col, "string"), y_=(label_col, "int")).where("y_ IN (0, 1) AND text_ RLIKE '[a-zA-Z]'")
-    df = sampled_rows(df, "y_", rows, "id_").where(F.length("text_") <= longest)
-    got = df.orderBy(F.xxhash64(F.lit(5), "id_"), "text_", "y_").limit(rows * 3).collect()
-    y = np.array([r["y_"] for r in got])
+    texts, y = labelled_texts(docs, labels, label_col, rows, longest, id_col, text_col)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.0
-    return fit([r["text_"] for r in got], y, **how)
+    return fit(texts, y, **how)
 
 
 def score(docs: DataFrame, model: tuple[Params, np.ndarray] | float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
