@@ -5,7 +5,7 @@ and a right symbol, sides being a bit of the symbol's name. A name is a hash of
 runs and pairs equal names, without exchanging them; what lies inside a passage is thus named alike wherever the passage occurs. Only next to
 its ends can names differ: a round loses there at most one run and one symbol on either side. Runs are named up to a bound
 that doubles with the rounds, so the loss is bounded: after ROUNDS rounds a passage of `window` words still has equal
-symbols within its middle `region` words. Of these the one with the least hash is its anchor.
+symbols within its middle `region` words. Of these the longest one, or of several that with the least hash, is its anchor.
 
 1. Each task sends its anchors by symbol; a symbol that documents with different ids have is shared.
 2. Only windows around shared anchors are looked at: their words' fingerprints (96 bits) are sent by fingerprint, and
@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from logsluice.llm.common import bucket_of_id, columns, in_slices, joined, kept_columns, mix64, partitions_for, received, run_hashes, sent_by_bucket, word_hashes
+from logsluice.llm.common import bucket_of_id, columns, in_slices, joined, kept_columns, mix64, packed_rows, partitions_for, received, run_hashes, sent_by_bucket, unpacked, word_hashes
 
 ROUNDS = 2
 #: Words that a passage may lose on either side: in round k up to 2**k to a run and 2**k to a pair.
@@ -86,8 +87,9 @@ def anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndar
     lo, hi = begun[p + LOSS], done[p + window - LOSS]
     new = (np.diff(lo, prepend=-1) != 0) | (np.diff(hi, prepend=-1) != 0)
     lo, hi = lo[new], hi[new]
-    # The least hash of each range, from minima over spans of 1, 2, 4 ... symbols; the leftmost if equal.
-    order = mix64(names ^ ODD)
+    # The longest symbol of each range, which chance repeats least; of equally long ones that with the least hash, the
+    # leftmost if equal. Found from minima over spans of 1, 2, 4 ... symbols.
+    order = mix64(names ^ ODD) >> np.uint64(8) | (np.uint64(255) - length.astype(np.uint64)) << np.uint64(56)
     best = np.arange(len(names))
     chosen = np.empty(len(lo), dtype=np.int64)
     size = hi - lo
@@ -137,7 +139,7 @@ SENT = "bucket int, kind string, payload binary"
 def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, payload): doc_id and first word of the windows that a document with a smaller id has too, by the doc_id's bucket."""
     docs = docs.where("doc_id IS NOT NULL")
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    dealt = packed_rows(docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text"))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -160,35 +162,35 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def send_windows(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc_a, at = received(found["payload"].to_pylist(), "<i8", "<i4")
-        out = []
-        if len(doc_a):
-            active = np.unique(doc_a)
-            texts = texts.filter(pa.array(np.isin(texts["doc_id"].to_numpy(), active)))
-            order = np.argsort(doc_a, kind="stable")
-            doc_a, at = doc_a[order], at[order].astype(np.int64)
-            for batch in texts.combine_chunks().to_batches():
-                for part in in_slices(batch, 1, 1 << 23):
-                    ids = part.column(0).to_numpy(zero_copy_only=False)
-                    words, counts = word_hashes(*joined(part.column(1)))
-                    begin = np.cumsum(counts) - counts
-                    # Anchors of these texts, and the windows that can have them in the middle.
-                    lo, hi = np.searchsorted(doc_a, ids), np.searchsorted(doc_a, ids, side="right")
-                    row = np.repeat(np.arange(len(ids)), hi - lo)
-                    place = at[np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
-                    last = counts[row] - window
-                    a, b = np.maximum(place - (window - LOSS) + 1, 0), np.minimum(place - LOSS, last)
-                    ok = a <= b
-                    change = np.bincount(begin[row[ok]] + a[ok], minlength=len(words) + 1) - np.bincount(begin[row[ok]] + b[ok] + 1, minlength=len(words) + 1)
-                    start = np.flatnonzero(np.cumsum(change)[: len(words)] > 0)
-                    if not len(start):
-                        continue
-                    of = np.repeat(np.arange(len(ids)), counts)[start]
-                    one, two = run_hashes(words, window)[start], (run_hashes(mix64(words + ODD), window)[start] >> np.uint64(32)).astype(np.uint32)
-                    at_doc, at_word = ids[of], (start - begin[of]).astype(np.int32)
-                    # Sorted within the task by the first hash; of equal ones only the least document's leave it.
-                    _, later, _ = _settled(one ^ two.astype(np.uint64), at_doc)
-                    out.append(("entry", sent_by_bucket(_bucket(one[~later], buckets), one[~later], two[~later], at_doc[~later], at_word[~later])))
-                    out.append(("known", sent_by_bucket(bucket_of_id(at_doc[later], buckets), at_doc[later], at_word[later])))
+        order = np.argsort(doc_a, kind="stable")
+        doc_a, at = doc_a[order], at[order].astype(np.int64)
+        active = set(doc_a.tolist())
+        some = [(d, t) for p in texts["payload"].to_pylist() for d, t in zip(*unpacked([p], 2), strict=True) if d in active]
+        whole = pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([t for _, t in some], pa.string())], names=["doc_id", "text"])
+        windows = []
+        for part in in_slices(whole, 1, 1 << 22):
+            ids = part.column(0).to_numpy()
+            words, counts = word_hashes(*joined(part.column(1)))
+            begin = np.cumsum(counts) - counts
+            # Anchors of these texts, and the windows that can have them in the middle.
+            lo, hi = np.searchsorted(doc_a, ids), np.searchsorted(doc_a, ids, side="right")
+            row = np.repeat(np.arange(len(ids)), hi - lo)
+            place = at[np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+            a, b = np.maximum(place - (window - LOSS) + 1, 0), np.minimum(place - LOSS, counts[row] - window)
+            ok = a <= b
+            change = np.bincount(begin[row[ok]] + a[ok], minlength=len(words) + 1) - np.bincount(begin[row[ok]] + b[ok] + 1, minlength=len(words) + 1)
+            start = np.flatnonzero(np.cumsum(change)[: len(words)] > 0)
+            of = np.repeat(np.arange(len(ids)), counts)[start]
+            one, two = run_hashes(words, window), run_hashes(mix64(words + ODD), window)
+            windows.append((one[start], (two[start] >> np.uint64(32)).astype(np.uint32), ids[of], (start - begin[of]).astype(np.int32)))
+        if not windows:
+            return pa.Table.from_pydict(_rows([]))
+        one, two, doc, word = (np.concatenate(x) for x in zip(*windows, strict=True))
+        # Of equal fingerprints only those of the least document leave the task as such; the others are settled.
+        _, later, _ = _settled(one ^ two.astype(np.uint64), doc)
+        first = ~later
+        out = [("entry", sent_by_bucket(_bucket(one[first], buckets), one[first], two[first], doc[first], word[first]))]
+        out.append(("known", sent_by_bucket(bucket_of_id(doc[later], buckets), doc[later], word[later])))
         return pa.Table.from_pydict(_rows(out))
 
     def judge_windows(t: pa.Table) -> pa.Table:
@@ -206,26 +208,30 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 def remove(docs: DataFrame, *, window: int = 50, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the columns of `keep`, n_words, n_removed, kept (its kept words, joined by one space).
 
-    buckets: parts into which what moves is cut, a task's memory holds one with its texts; eight for each shuffle partition if None.
+    buckets: parts into which what moves is cut, a task's memory holds one with its texts; one for each shuffle partition if None.
     """
     if window < 2 * LOSS + 2 ** (ROUNDS + 2):
         raise ValueError("windows are too short for so many rounds")
-    buckets = buckets or 8 * partitions_for(docs)
+    buckets = buckets or partitions_for(docs)
     df = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **kept_columns(docs, keep))
     # Documents without an id go to any bucket.
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(buckets)).cast("int").alias("bucket")
     fields = df.select("doc_id", *[f"keep_{i}" for i in range(len(keep))]).schema
+    dealt = packed_rows(df.select(bucket, "text", *fields.names))
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_removed long", "kept string"])
 
+    kinds = [x.type for x in to_arrow_schema(fields)]
+
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc_a, at = received(found["payload"].to_pylist(), "<i8", "<i4")
         order = np.lexsort((at, doc_a))
         doc_a, at = doc_a[order], at[order].astype(np.int64)
-        ids = texts["doc_id"].fill_null(0).to_numpy()
-        known = texts["doc_id"].is_valid().to_numpy()
+        rows = unpacked(texts["payload"].to_pylist(), 1 + len(fields))
+        known = [d is not None for d in rows[1]]
+        ids = np.array([d or 0 for d in rows[1]], dtype=np.int64)
         lo, hi = np.searchsorted(doc_a, ids), np.searchsorted(doc_a, ids, side="right")
         n_words, n_removed, kept = [], [], []
-        for i, text in enumerate(texts["text"].to_pylist()):
+        for i, text in enumerate(rows[0]):
             words = text.encode("utf-8", "surrogatepass").split() if text else []
             n_words.append(len(words))
             if known[i] and hi[i] > lo[i]:
@@ -238,7 +244,7 @@ def remove(docs: DataFrame, *, window: int = 50, buckets: int | None = None, id_
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        arrays = {f.name: texts[f.name] for f in fields}
+        arrays = {f.name: pa.array(v, kind) for f, v, kind in zip(fields, rows[1:], kinds, strict=True)}
         return pa.Table.from_pydict(arrays | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     found = removable(df.select("doc_id", "text"), window, buckets)
