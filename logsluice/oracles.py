@@ -139,3 +139,10 @@ ORACLES["attr_unnest"] = f"""WITH {LOGS} SELECT event_id, 0::BIGINT AS pos, 'use
  UNION ALL SELECT event_id, 1, 'http.method', 'POST' FROM logs UNION ALL SELECT event_id, 2, 'request.note', body FROM logs"""
 ORACLES["latency_percentile"] = "SELECT round(quantile_cont(value, 0.99), 6) AS value FROM events"
 ORACLES["latency_nearest_rank"] = "SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) WHERE k = floor((n - 1) * 0.99 + 0.5)"
+ORACLES["request_size_limit"] = "SELECT page_id, CASE WHEN strlen(html) <= 4000 THEN 'accepted' ELSE 'too_large' END AS verdict FROM pages"
+ORACLES["content_type_gate"] = "SELECT page_id, page_id % 5 < 2 AS grpc FROM pages"
+ORACLES["stream_govern"] = ORACLES["govern_logs"]
+ORACLES["stream_window_10s"] = f"""WITH RECURSIVE {_GOVERNED}, counted AS (SELECT event_id, count(*) AS n FROM found GROUP BY event_id),
+one AS (SELECT epoch_ms(time_bucket(INTERVAL '10 seconds', received_at)) AS window_start_ms, keep, strlen(body) AS b, CASE WHEN keep THEN strlen(out) ELSE 0 END AS o, coalesce(n, 0) AS n FROM decided JOIN redacted USING (event_id) LEFT JOIN counted USING (event_id))
+SELECT window_start_ms, window_start_ms + 10000 AS window_end_ms, count(*) AS events_in, count(*) FILTER (NOT keep) AS events_sampled_out, count(*) FILTER (keep) AS events_exported, sum(b)::BIGINT AS bytes_in,
+ sum(greatest(b - o, 0))::BIGINT AS bytes_dropped, sum(o)::BIGINT AS bytes_exported, sum(n)::BIGINT AS redaction_count, 0::BIGINT AS failopen_count FROM one GROUP BY ALL"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -13,7 +15,8 @@ from logsluice.functions import hashing, patterns, wire
 from logsluice.operators import accounting, governance, redaction, sampling
 from logsluice.plans.policy import CompiledPolicy, compile_policy, from_yaml, severity_max
 from logsluice.sources import otlp, spool
-from logsluice.sources.logs import events_as_logs
+from logsluice.sources.logs import LOGS_SQL, events_as_logs
+from logsluice.streaming import pipeline
 
 POLICY = r"""
 sampling:
@@ -281,6 +284,56 @@ def aggregate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.as_json(window_10s_gapfill(spark, sf_dir).select("seq", *accounting.COUNTERS))
 
 
+@query
+def request_size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("raw"))
+    ok, big = otlp.within_limit(pages, 4000)
+    return ok.select("page_id", F.lit("accepted").alias("verdict")).unionByName(big.select("page_id", F.lit("too_large").alias("verdict")))
+
+
+@query
+def content_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("application/grpc", "application/grpc+proto", "application/json", "Application/grpc", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", wire.is_grpc(kind).alias("grpc"))
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of logs, one file a batch."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    logs = spark.sql(LOGS_SQL.replace("FROM events", "FROM {events}"), events=events)
+    return logs.withColumns({"received_at": F.col("received_at").cast("timestamp"), "trace_id": F.col("trace_hex").cast("binary")}).where("trace_hex IS NOT NULL")
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives until its source is read, as a table in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
+
+
+@query
+def stream_govern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipeline.govern_stream(_events_stream(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body")
+    return _streamed(spark, rows, "append")
+
+
+@query
+def stream_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = redaction.redact(sampling.sample(_events_stream(spark, sf_dir), policy(spark)).withColumn("size_in", F.octet_length("body")), policy(spark))
+    kept, size = F.col("keep").cast("long"), F.octet_length("body")
+    one = logs.select(
+        "received_at", F.lit(1).cast("long").alias("events_in"), (1 - kept).alias("events_sampled_out"), kept.alias("events_exported"), F.col("size_in").cast("long").alias("bytes_in"),
+        wire.saved(F.col("size_in").cast("long"), kept * size).alias("bytes_dropped"), (kept * size).alias("bytes_exported"), F.col("n_redactions").alias("redaction_count"), F.lit(0).cast("long").alias("failopen_count"),
+    )
+    return _streamed(spark, pipeline.window_stream(one), "complete")
+
+
 @query
 def policy_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(str(policy(spark).fingerprint)).alias("fingerprint"))

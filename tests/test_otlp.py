@@ -128,3 +128,19 @@ def test_receiver(tmp_path):
     assert [post("/v1/logs", raw), post("/v1/logs", b"\xff" * 9), post("/v1/traces", raw), post("/v1/logs", b"x" * 1001), post("/v1/logs", None, "GET")] == [200, 400, 404, 413, 404]
     assert [p.read_bytes() for p in (tmp_path / "in").glob("*.otlp")] == [raw]
     server.shutdown()
+
+
+def test_data_source(spark, tmp_path):
+    from logsluice.sources import datasource
+
+    datasource.register(spark)
+    for k in range(3):
+        (tmp_path / f"{k:020d}.otlp").write_bytes(encode_request([record(f"body {k}"), record("x")], "ns", "svc"))
+    (tmp_path / "bad.otlp").write_bytes(b"\xff" * 9)
+    got = spark.read.format("otlp").option("filesPerTask", "2").load(str(tmp_path))
+    assert got.count() == 6 and {r["body"] for r in got.where("record_idx = 0").collect()} == {"body 0", "body 1", "body 2"}
+    seen = []
+    q = spark.readStream.format("otlp").load(str(tmp_path)).writeStream.foreachBatch(lambda df, n: seen.extend(r["body"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert len(seen) == 6
