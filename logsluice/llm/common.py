@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,34 @@ def kept_columns(df: DataFrame, keep: tuple[str, ...]) -> dict[str, tuple[str, s
     return {f"keep_{i}": (c, df.schema[c].dataType.simpleString()) for i, c in enumerate(keep)}
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(f: Callable) -> Callable:
+    """A function for Python workers that leaves little memory behind: workers are kept, and idle ones count against their executor."""
+
+    def to_the_end(out: Iterator) -> Iterator:
+        try:
+            yield from out
+        finally:
+            _trim()
+
+    def call(*args: object) -> object:
+        pa.set_memory_pool(pa.system_memory_pool())
+        out = f(*args)
+        if inspect.isgenerator(out):
+            return to_the_end(out)
+        _trim()
+        return out
+
+    # Spark looks at how many arguments there are.
+    return (lambda a: call(a)) if len(inspect.signature(f).parameters) == 1 else lambda a, b: call(a, b)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -49,9 +80,19 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that operators of this process have written so far; call it once their results are stored. How many."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -64,19 +105,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_written: list[str] = []
+_powers: list[np.ndarray] = []
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n not in _powers:
-        _powers.clear()
-        both = []
+    """The first n powers, or more, of the base and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = []
         for base in (_BASE, _INVERSE):
             p = np.full(n, base, dtype=np.uint64)
             p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[n] = (both[0], both[1])
-    return _powers[n]
+            _powers.append(np.multiply.accumulate(p))
+    return _powers[0], _powers[1]
 
 
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -198,17 +239,20 @@ def received(payloads: list[bytes], *kinds: str) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in parts)
 
 
-def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """The same purpose as window_hashes(), from running sums: for wide windows. Two independent calls give independent hashes if words differ."""
-    out = np.empty(max(0, len(words) - width + 1), dtype=np.uint64)
-    step = 1 << 20
-    up, down = _powers_to(2 * step)
-    for a in range(0, len(out), step):
-        part = words[a : min(a + step, len(out)) + width - 1]
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * up[: len(part)], out=sums[1:])
-        n = len(part) - width + 1
-        out[a : a + n] = mix64((sums[width:] - sums[:n]) * down[:n])
+def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words[begin:end], for begins in ascending order, from running sums: a cost that doesn't grow with the runs."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    step, first = 1 << 20, 0
+    while first < len(begin):
+        lo = int(begin[first])
+        last = int(np.searchsorted(begin, lo + step))
+        hi = int(end[first:last].max())
+        up, down = _powers_to(1 << max(21, (hi - lo).bit_length()))
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(words[lo:hi] * up[: hi - lo], out=sums[1:])
+        b, e = begin[first:last] - lo, end[first:last] - lo
+        out[first:last] = mix64((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64))
+        first = last
     return out
 
 
@@ -228,12 +272,13 @@ def bucket_of_id(ids: np.ndarray, n: int) -> np.ndarray:
     return np.mod((h ^ h >> np.uint64(32)).view(np.int64), np.int64(n))
 
 
-def packed_rows(df: DataFrame, most: int = 1 << 24) -> DataFrame:
+def packed_rows(df: DataFrame, most: int = 1 << 23) -> DataFrame:
     """The rows of df (bucket int, ...) as (bucket, payload): a task's rows of a bucket together, compressed, for less to shuffle.
 
     Compression works over many rows here, where Spark's own sees a few; texts take about two thirds of the space.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0

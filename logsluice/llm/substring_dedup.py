@@ -5,7 +5,8 @@ and a right symbol, sides being a bit of the symbol's name. A name is a hash of
 runs and pairs equal names, without exchanging them; what lies inside a passage is thus named alike wherever the passage occurs. Only next to
 its ends can names differ: a round loses there at most one run and one symbol on either side. Runs are named up to a bound
 that doubles with the rounds, so the loss is bounded: after ROUNDS rounds a passage of `window` words still has equal
-symbols within its middle `region` words. Of these the longest one, or of several that with the least hash, is its anchor.
+symbols within its middle `region` words. Of these the longest one, or of several that with the least hash, is its anchor; it
+is known by its name and the words around it that must be in the passage too.
 
 1. Each task sends its anchors by symbol; a symbol that documents with different ids have is shared.
 2. Only windows around shared anchors are looked at: their words' fingerprints (96 bits) are sent by fingerprint, and
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from logsluice.llm.common import bucket_of_id, columns, in_slices, joined, kept_columns, mix64, packed_rows, partitions_for, received, run_hashes, sent_by_bucket, unpacked, word_hashes
+from logsluice.llm.common import bucket_of_id, columns, frugal, in_slices, joined, kept_columns, mix64, packed_rows, partitions_for, received, run_hashes, sent_by_bucket, unpacked, word_hashes
 
 ROUNDS = 2
 #: Words that a passage may lose on either side: in round k up to 2**k to a run and 2**k to a pair.
@@ -72,7 +73,7 @@ def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, text, first word in the text) of the anchors of all windows of the texts."""
+    """(name with context, text, first word in the text) of the anchors of all windows of the texts."""
     doc = np.repeat(np.arange(len(counts)), counts)
     begin = np.cumsum(counts) - counts
     names, start, length = recompress(words, doc)
@@ -105,7 +106,9 @@ def anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndar
         span *= 2
     chosen = np.unique(chosen)
     of = doc[start[chosen]]
-    return names[chosen], of, start[chosen] - begin[of]
+    # The passage reaches LOSS words beyond its middle: those around the symbol are in it as well.
+    around = run_hashes(words, start[chosen] - LOSS, start[chosen] + length[chosen] + LOSS)
+    return mix64(names[chosen] ^ around), of, start[chosen] - begin[of]
 
 
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
@@ -141,6 +144,7 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     dealt = packed_rows(docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text"))
 
+    @frugal
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_slices(whole, 1, 1 << 22):
@@ -153,6 +157,7 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 out.append(("known", sent_by_bucket(bucket_of_id(doc[shared], buckets), doc[shared], at[shared].astype(np.int32))))
                 yield pa.RecordBatch.from_pydict(_rows(out))
 
+    @frugal
     def share_anchors(t: pa.Table) -> pa.Table:
         symbol, doc, at = received([p for p, k in zip(t["payload"].to_pylist(), t["kind"].to_pylist(), strict=True) if k == "entry"], "<u8", "<i8", "<i4")
         shared, _, _ = _settled(symbol, doc)
@@ -160,6 +165,7 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         parts += [("known", [(b, p)]) for b, p, k in zip(t["bucket"].to_pylist(), t["payload"].to_pylist(), t["kind"].to_pylist(), strict=True) if k == "known"]
         return pa.Table.from_pydict(_rows(parts))
 
+    @frugal
     def send_windows(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc_a, at = received(found["payload"].to_pylist(), "<i8", "<i4")
         order = np.argsort(doc_a, kind="stable")
@@ -181,8 +187,8 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             change = np.bincount(begin[row[ok]] + a[ok], minlength=len(words) + 1) - np.bincount(begin[row[ok]] + b[ok] + 1, minlength=len(words) + 1)
             start = np.flatnonzero(np.cumsum(change)[: len(words)] > 0)
             of = np.repeat(np.arange(len(ids)), counts)[start]
-            one, two = run_hashes(words, window), run_hashes(mix64(words + ODD), window)
-            windows.append((one[start], (two[start] >> np.uint64(32)).astype(np.uint32), ids[of], (start - begin[of]).astype(np.int32)))
+            one, two = run_hashes(words, start, start + window), run_hashes(mix64(words + ODD), start, start + window)
+            windows.append((one, (two >> np.uint64(32)).astype(np.uint32), ids[of], (start - begin[of]).astype(np.int32)))
         if not windows:
             return pa.Table.from_pydict(_rows([]))
         one, two, doc, word = (np.concatenate(x) for x in zip(*windows, strict=True))
@@ -193,6 +199,7 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         out.append(("known", sent_by_bucket(bucket_of_id(doc[later], buckets), doc[later], word[later])))
         return pa.Table.from_pydict(_rows(out))
 
+    @frugal
     def judge_windows(t: pa.Table) -> pa.Table:
         one, two, doc, at = received([p for p, k in zip(t["payload"].to_pylist(), t["kind"].to_pylist(), strict=True) if k == "entry"], "<u8", "<u4", "<i8", "<i4")
         _, later, _ = _settled(one ^ two.astype(np.uint64), doc)
@@ -222,6 +229,7 @@ def remove(docs: DataFrame, *, window: int = 50, buckets: int | None = None, id_
 
     kinds = [x.type for x in to_arrow_schema(fields)]
 
+    @frugal
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc_a, at = received(found["payload"].to_pylist(), "<i8", "<i4")
         order = np.lexsort((at, doc_a))
