@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns, partitions_for, written
+from logsluice.llm.common import columns, frugal, partitions_for, written
 from logsluice.llm.components import components, spanning
 
 #: Vectors in a cell, on average; a task holds two cells.
@@ -123,6 +123,7 @@ def _joined(groups: DataFrame, n: dict[int, int], cosine: float, block_dims: int
     count = F.create_map(*[F.lit(x) for pair in cells.items() for x in pair])[F.col("dims")]
     rows = groups.select("h", "copies", "v", "dims", count.alias("cells"), F.pmod("g", count).cast("int").alias("cell"))
 
+    @frugal
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         """A cell as one row for each pair of cells that it is in."""
         pdf = pdf.sort_values("h")
@@ -131,6 +132,7 @@ def _joined(groups: DataFrame, n: dict[int, int], cosine: float, block_dims: int
         out = [(dims, min(cell, c), max(cell, c), cell, *body) for c in range(of)]
         return pd.DataFrame(out, columns=["dims", "one", "two", "cell", "ids", "copies", "v"])
 
+    @frugal
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell")
         dims = int(pdf["dims"].iloc[0])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns, in_slices, sampled_rows
+from logsluice.llm.common import columns, frugal, in_slices, sampled_rows
 
 UNKNOWN = "und"
 #: Letters with a symbol of their own, besides the gap (0) and any other letter (1).
@@ -192,6 +192,7 @@ def identify(docs: DataFrame, texts: dict[str, str], *, id_col: str = "doc_id",
     """Per document: doc_id, lang_pred, score, bits_per_char (the winner's cross-entropy). texts: labelled text by language."""
     sent = docs.sparkSession.sparkContext.broadcast(dict(sorted(texts.items())))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for whole in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns
+from logsluice.llm.common import columns, frugal
 
 #: The split into pieces that byte-level BPE files with "use_regex" mean (a fixed, published value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -81,6 +81,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, max_len: int = 2048, end_id: i
     with open(tokenizer_file, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logsluice.llm.common import columns, in_slices, joined, labelled_texts
+from logsluice.llm.common import columns, frugal, in_slices, joined, labelled_texts
 from logsluice.llm.nn import Adam, Params, normal, sigmoid
 
 CHUNK, HOP = 256, 192
@@ -168,6 +168,7 @@ def classify(docs: DataFrame, model: Params | float, *, id_col: str = "doc_id",
     """Per document: doc_id, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_slices(whole, 1, 1 << 22):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logsluice.llm.common import columns, in_slices, joined, labelled_texts, mix64, span_hashes, word_spans
+from logsluice.llm.common import columns, frugal, in_slices, joined, labelled_texts, mix64, span_hashes, word_spans
 from logsluice.llm.nn import Adam, Params, normal, sigmoid
 
 WINDOW, HOP = 24, 12
@@ -283,6 +283,7 @@ def score(docs: DataFrame, model: tuple[Params, np.ndarray] | float, *, id_col:
     """Per document: doc_id, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_slices(whole, 1, 1 << 21):
