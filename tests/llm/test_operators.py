@@ -405,6 +405,29 @@ def test_traversal_finds_the_same_components():
     assert H.components(range(len(sets)), jaccard_join.traverse(sets, 75)) == H.components(range(len(sets)), want)
 
 
+# --- plans
+
+
+def test_native_plans_have_no_python(odd):
+    rows = quality_rules.measured(odd).selectExpr("*", *[f"({up}) div greatest(n_words, 1) AS {m}" for m, (up, _, _) in quality_rules.MEASURES.items()])
+    for df in (license_scan.scan(odd), rows, quality_rules.thresholds(rows, 3, 100), quality_rules.judge(odd)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [w for w in ("Python", "Pandas", "Arrow") if w in plan]
+
+
+def test_scoring_and_packing_do_not_shuffle(odd):
+    for df in (license_scan.scan(odd), packing.pack(odd, queries.tokenizer_file()), language_id.identify(odd, {"en": "words"}), quality_cnn.classify(odd, 0.5), toxicity.score(odd, 0.5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")  # none but what the table itself has
+
+
+def test_written_tables_are_released(spark, odd):
+    from pathlib import Path
+
+    path = Path(common.written(odd.select("doc_id")).inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and common.release(spark) >= 1 and not path.exists()
+
+
 # --- queries
 
 
