@@ -30,6 +30,8 @@ from logsluice.llm.common import WORD, columns, mix64, written
 BUCKET = 4096
 #: Documents of a source that are kept for the landing, besides what the flight leaves.
 HELD = 10
+#: Sources up to which their rows (targets, buckets) are broadcast; with more the joins are Spark's to choose.
+SMALL = 10_000
 NEAR = 1e-9
 
 
@@ -127,6 +129,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     of.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     goal = targets([float(r["s"]) for r in of], [float(weights[i % len(weights)]) for i in range(len(of))], share, max_repeat)
     plan = spark.createDataFrame([(r["source"], r["s"], t, t / r["s"] if r["s"] else 0.0) for r, t in zip(of, goal, strict=True)], "of string, source_size long, target double, rate double")
+    plan = F.broadcast(plan) if len(of) <= SMALL else plan
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select(
         F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size").alias("key"), "doc_id", "source", "size",
         F.floor("rate").cast("long").alias("copies"), (F.col("rate") - F.floor("rate")).alias("p"),
@@ -136,6 +139,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     decided = None
     while counts:
         buckets = spark.createDataFrame([(s, math.ceil(n / BUCKET)) for s, n in counts.items()], kind)
+        buckets = F.broadcast(buckets) if len(counts) <= SMALL else buckets
         rows = written(_fly(rows, buckets))
         done = rows.where((F.col("p") <= 0) | (F.col("p") >= 1))
         decided = done if decided is None else decided.unionByName(done)
