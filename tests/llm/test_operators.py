@@ -384,11 +384,11 @@ def test_jaccard_in_small_parts(spark, seed):
     common_words = " ".join(f"c{k}" for k in range(40))
     for _ in range(60):
         rows[rng.randrange(10**6)] = " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([8, 10, 14, 30]))) + " " + common_words
-    old, jaccard_join.PART_DOCS = jaccard_join.PART_DOCS, 10
+    old, jaccard_join.PART_DOCS, jaccard_join.THIN = (jaccard_join.PART_DOCS, jaccard_join.THIN), 10, 20
     try:
         got = jaccard_join.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)).collect()
     finally:
-        jaccard_join.PART_DOCS = old
+        jaccard_join.PART_DOCS, jaccard_join.THIN = old
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == H.jaccard(list(rows.items()))
 
 
