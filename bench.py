@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 HEADLINE = [
     "sample_keep_traced", "policy_target", "namespace_keep_rate", "govern_logs", "request_stats", "window_10s_aggregate", "window_10s_gapfill", "redact_email_documents", "redact_multi_documents",
-    "redaction_rule_counts", "prefilter_hits", "otlp_decode", "otlp_govern_payloads", "latency_nearest_rank",
+    "redaction_rule_counts", "prefilter_hits", "otlp_decode", "latency_nearest_rank",
 ]
 #: The load that the throughput target is stated for: one namespace rule and five redaction rules on the body.
 LOAD = r"""
