@@ -127,6 +127,10 @@ filled AS (SELECT seq::BIGINT AS seq, s.window_start_ms, s.window_start_ms + 100
 ORACLES["window_10s_gapfill"] = f"WITH RECURSIVE {_FILLED} SELECT * FROM filled"
 _JSON = " || ',' || ".join(f"'\"{c}\":' || {c}" for c in ["seq", *_COUNTERS])
 ORACLES["aggregate_json"] = f"WITH RECURSIVE {_FILLED} SELECT '{{' || {_JSON} || '}}' AS json FROM filled"
+_FILLED_WHOLE = f"""{_WINDOWS}, ends AS (SELECT min(window_start_ms) AS lo, max(window_start_ms) AS hi FROM windows), numbers AS (SELECT lo, unnest(range(0, (hi - lo) // 10000 + 1)) AS i FROM ends),
+filled AS (SELECT i::BIGINT AS seq, lo + i * 10000 AS window_start_ms, lo + i * 10000 + 10000 AS window_end_ms, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in _COUNTERS)} FROM numbers s LEFT JOIN windows w ON w.window_start_ms = lo + i * 10000)"""
+ORACLES["window_10s_gapfill_whole"] = f"WITH RECURSIVE {_FILLED_WHOLE} SELECT * FROM filled"
+ORACLES["aggregate_json_whole"] = f"WITH RECURSIVE {_FILLED_WHOLE} SELECT '{{' || {_JSON} || '}}' AS json FROM filled"
 ORACLES["spool_fifo_head"] = "WITH f AS (SELECT o_orderkey::BIGINT AS seq, o_custkey::BIGINT AS size FROM orders WHERE o_orderkey % 5 <> 0) SELECT min(seq) AS head, arg_min(size, seq) AS head_size, count(*) AS files, sum(size)::BIGINT AS bytes, max(seq) + 1 AS next_seq FROM f"
 _size = "CASE " + " ".join(f"WHEN {{0}} < {1 << 7 * k} THEN {k}" for k in range(1, 9)) + " ELSE 9 END"
 ORACLES["otlp_varint_size"] = f"WITH n AS (SELECT DISTINCT l_orderkey::BIGINT * l_orderkey * l_partkey AS value FROM lineitem) SELECT value, {_size.format('value')} AS varint, (1 + {_size.format('value')} + value)::BIGINT AS field FROM n"

@@ -26,3 +26,11 @@ def test_against_duckdb(spark, duck, sf_small, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gapfill_reaches_the_last_window(spark, sf_small):
+    some = QUERIES["window_10s_aggregate"](spark, sf_small).toPandas()
+    got = QUERIES["window_10s_gapfill_whole"](spark, sf_small).toPandas()
+    assert len(got) == (some["window_start_ms"].max() - some["window_start_ms"].min()) // 10_000 + 1
+    assert got["events_in"].sum() == some["events_in"].sum()
+    assert len(QUERIES["aggregate_json_whole"](spark, sf_small).toPandas()) == len(got)
