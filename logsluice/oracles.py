@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from logsluice.functions.hashing import P1, P2, P3, P4, P5
 from logsluice.sources.logs import LOGS_SQL
 
@@ -150,3 +152,24 @@ ORACLES["stream_window_10s"] = f"""WITH RECURSIVE {_GOVERNED}, counted AS (SELEC
 one AS (SELECT epoch_ms(time_bucket(INTERVAL '10 seconds', received_at)) AS window_start_ms, keep, strlen(body) AS b, CASE WHEN keep THEN strlen(out) ELSE 0 END AS o, coalesce(n, 0) AS n FROM decided JOIN redacted USING (event_id) LEFT JOIN counted USING (event_id))
 SELECT window_start_ms, window_start_ms + 10000 AS window_end_ms, count(*) AS events_in, count(*) FILTER (NOT keep) AS events_sampled_out, count(*) FILTER (keep) AS events_exported, sum(b)::BIGINT AS bytes_in,
  sum(greatest(b - o, 0))::BIGINT AS bytes_dropped, sum(o)::BIGINT AS bytes_exported, sum(n)::BIGINT AS redaction_count, 0::BIGINT AS failopen_count FROM one GROUP BY ALL"""
+
+
+def every() -> str:
+    """hashed (event_id, bucket) of traced and untraced records."""
+    parts = [re.sub(r"\b(a1|a2|hashed)\b", rf"\1_{k}", f().removeprefix(f"{LOGS},\n")) for k, f in (("t", traced), ("u", untraced))]
+    return f"{LOGS},\n{parts[0]},\n{parts[1]},\nhashed AS (SELECT * FROM hashed_t UNION ALL SELECT * FROM hashed_u)"
+
+
+# Over all records, with their attributes: the same SQL from both kinds of bucket, and with the matches in the attributes.
+_EMAIL, _NOTE = "'u' || regexp_extract(body, '^user ([0-9]+)', 1) || '@corp.io'", "body"
+_COUNTED = "counted AS (SELECT event_id, count(*) AS n FROM found GROUP BY event_id)"
+_COUNTED_ALL = f"""counted AS (SELECT event_id, sum(n)::BIGINT AS n FROM (SELECT event_id, count(*) AS n FROM found GROUP BY event_id
+ UNION ALL SELECT event_id, len(regexp_extract_all({_EMAIL}, '{RULES[0][1]}')) + len(regexp_extract_all({_NOTE}, '{RULES[1][1]}')) FROM logs) GROUP BY event_id)"""
+_ATTRS = f"'user.email=' || regexp_replace({_EMAIL.replace('body', 'd.body')}, '{RULES[0][1]}', '[EMAIL]', 'g') || chr(10) || 'http.method=POST' || chr(10) || 'request.note=' || regexp_replace(d.{_NOTE}, '{RULES[1][1]}', '[IP]', 'g')"
+for _name in ("namespace_keep_rate", "request_stats", "bytes_saved", "window_10s_aggregate", "stream_window_10s"):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(traced(), every()).replace(_COUNTED, _COUNTED_ALL)
+for _name in ("window_10s_gapfill", "aggregate_json"):
+    ORACLES[f"{_name}_all"] = ORACLES[f"{_name}_whole"].replace(traced(), every()).replace(_COUNTED, _COUNTED_ALL)
+_GOVERNED_ALL = _GOVERNED.replace(traced(), every())
+ORACLES["govern_logs_all"] = f"WITH RECURSIVE {_GOVERNED_ALL} SELECT d.event_id, d.request_id, d.namespace, r.out AS body, {_ATTRS} AS attrs FROM decided d JOIN redacted r USING (event_id) WHERE keep"
+ORACLES["stream_govern_all"] = ORACLES["govern_logs_all"]

@@ -8,14 +8,14 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsluice.functions import hashing, patterns, wire
 from logsluice.operators import accounting, governance, redaction, sampling
 from logsluice.plans.policy import CompiledPolicy, compile_policy, from_yaml, severity_max
 from logsluice.sources import otlp, spool
-from logsluice.sources.logs import LOGS_SQL, events_as_logs
+from logsluice.sources.logs import as_logs, events_as_logs
 from logsluice.streaming import pipeline
 
 POLICY = r"""
@@ -100,6 +100,11 @@ def namespace_keep_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.keep_rate(sampling.sample(logs, policy(spark)), "namespace")
 
 
+@query
+def namespace_keep_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.keep_rate(sampling.sample(events_as_logs(spark, sf_dir), policy(spark)), "namespace")
+
+
 @query
 def trace_id_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.when(F.col("event_id") % 7 == 0, F.upper("trace_hex")).when(F.col("event_id") % 7 == 1, F.substring("trace_hex", 1, 16)).when(F.col("event_id") % 7 == 2, F.concat(F.lit("zz"), F.substring("trace_hex", 3, 30))).when(F.col("event_id") % 7 == 3, F.substring("trace_hex", 1, 5)).otherwise(F.col("trace_hex"))
@@ -189,6 +194,46 @@ def window_10s_gapfill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.gap_filled(window_10s_aggregate(spark, sf_dir), policy(spark).fingerprint).drop("policy_version")
 
 
+def _attrs_line() -> Column:
+    return F.array_join(F.transform("attrs", lambda a: F.concat(a["key"], F.lit("="), a["value"])), "\n").alias("attrs")
+
+
+# The queries above without _all are held to SQL over the traced records and their bodies; these take all records, with their attributes.
+@query
+def govern_logs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.govern_rows(events_as_logs(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body", _attrs_line())
+
+
+def _all_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.govern(events_as_logs(spark, sf_dir), policy(spark)).stats
+
+
+@query
+def request_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_stats(spark, sf_dir).drop("received_at")
+
+
+@query
+def bytes_saved_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size_in, size_out = F.col("bytes_in"), F.col("bytes_out")
+    return _all_stats(spark, sf_dir).agg(F.sum(wire.saved(size_in, size_out)).cast("long").alias("saved"), F.sum(size_in - size_out).cast("long").alias("net"))
+
+
+@query
+def window_10s_aggregate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.window_aggregate(accounting.samples(_all_stats(spark, sf_dir)))
+
+
+@query
+def window_10s_gapfill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.gap_filled(window_10s_aggregate_all(spark, sf_dir), policy(spark).fingerprint).drop("policy_version")
+
+
+@query
+def aggregate_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.as_json(window_10s_gapfill_all(spark, sf_dir).select("seq", *accounting.COUNTERS))
+
+
 @query
 def spool_fifo_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("x"), spool.file_name(F.col("o_orderkey")))).otherwise(spool.file_name(F.col("o_orderkey"))).alias("name"), F.col("o_custkey").cast("long").alias("size"))
@@ -308,12 +353,15 @@ def content_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", wire.is_grpc(kind).alias("grpc"))
 
 
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of logs, one file a batch."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    logs = spark.sql(LOGS_SQL.replace("FROM events", "FROM {events}"), events=events)
-    return logs.withColumns({"received_at": F.col("received_at").cast("timestamp"), "trace_id": F.col("trace_hex").cast("binary")}).where("trace_hex IS NOT NULL")
+    return as_logs(spark, events)
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_events_stream(spark, sf_dir).where("trace_hex IS NOT NULL").drop("attrs")
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -334,9 +382,8 @@ def stream_govern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, rows, "append")
 
 
-@query
-def stream_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = redaction.redact(sampling.sample(_events_stream(spark, sf_dir), policy(spark)).withColumn("size_in", F.octet_length("body")), policy(spark))
+def _stream_windows(spark: SparkSession, events: DataFrame) -> DataFrame:
+    logs = redaction.redact(sampling.sample(events, policy(spark)).withColumn("size_in", F.octet_length("body")), policy(spark))
     kept, size = F.col("keep").cast("long"), F.octet_length("body")
     one = logs.select(
         "received_at", F.lit(1).cast("long").alias("events_in"), (1 - kept).alias("events_sampled_out"), kept.alias("events_exported"), F.col("size_in").cast("long").alias("bytes_in"),
@@ -345,6 +392,22 @@ def stream_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, pipeline.window_stream(one), "complete")
 
 
+@query
+def stream_govern_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipeline.govern_stream(_all_events_stream(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body", _attrs_line())
+    return _streamed(spark, rows, "append")
+
+
+@query
+def stream_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_windows(spark, _events_stream(spark, sf_dir))
+
+
+@query
+def stream_window_10s_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_windows(spark, _all_events_stream(spark, sf_dir))
+
+
 @query
 def policy_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(str(policy(spark).fingerprint)).alias("fingerprint"))

@@ -20,6 +20,11 @@ FROM events"""
 def events_as_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log records made of the events table; trace_id as the 32 digits that senders of JSON use, attrs from the user."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_logs(spark, events)
+
+
+def as_logs(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The same of any events, a stream's as well."""
     logs = spark.sql(LOGS_SQL.replace("FROM events", "FROM {events}"), events=events)
     attr = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     attrs = F.array(attr("user.email", F.concat(F.lit("u"), F.regexp_extract("body", "^user ([0-9]+)", 1), F.lit("@corp.io"))), attr("http.method", F.lit("POST")), attr("request.note", F.col("body")))
