@@ -173,3 +173,5 @@ for _name in ("window_10s_gapfill", "aggregate_json"):
 _GOVERNED_ALL = _GOVERNED.replace(traced(), every())
 ORACLES["govern_logs_all"] = f"WITH RECURSIVE {_GOVERNED_ALL} SELECT d.event_id, d.request_id, d.namespace, r.out AS body, {_ATTRS} AS attrs FROM decided d JOIN redacted r USING (event_id) WHERE keep"
 ORACLES["stream_govern_all"] = ORACLES["govern_logs_all"]
+ORACLES["otlp_govern_payloads_all"] = f"""WITH RECURSIVE {_GOVERNED_ALL}, {_COUNTED_ALL} SELECT d.event_id, keep::BIGINT AS kept, (NOT keep)::BIGINT AS dropped, n AS redactions, CASE WHEN keep THEN r.out END AS body,
+ CASE WHEN keep THEN '[EMAIL]' END AS email, CASE WHEN keep THEN regexp_replace(d.body, '{RULES[1][1]}', '[IP]', 'g') END AS note FROM decided d JOIN redacted r USING (event_id) JOIN counted USING (event_id) WHERE event_id % 97 <> 0"""

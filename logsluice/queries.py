@@ -313,6 +313,17 @@ def otlp_govern_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("NOT parse_bypassed").join(body, "request_id").select(F.col("request_id").cast("long").alias("event_id"), "kept", "dropped", "body").where("event_id % 10 <> 0")
 
 
+@query
+def otlp_govern_payloads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every well-formed request, of untraced records too, with what stands in the bytes written back; the query above is held to SQL without the untraced."""
+    out = otlp.govern_payloads(event_payloads(spark, sf_dir), policy(spark))
+    again = otlp.decode_requests(out.select("request_id", "received_at", F.col("payload").alias("raw")))
+    first = F.get("records", F.lit(0))
+    value = lambda k: F.get(first["attrs"], F.lit(k))["value"]
+    written = again.select("request_id", first["body"].cast("string").alias("body"), value(0).alias("email"), value(1).alias("note"))
+    return out.where("NOT parse_bypassed").join(written, "request_id").select(F.col("request_id").cast("long").alias("event_id"), "kept", "dropped", "redactions", "body", "email", "note")
+
+
 @query
 def attr_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = events_as_logs(spark, sf_dir)

@@ -44,3 +44,12 @@ def test_all_records_are_governed(spark, duck, sf_small):
     kept = QUERIES["govern_logs_all"](spark, sf_small).toPandas()
     assert len(kept) == stats["kept"].sum() and (kept["event_id"] % 10 == 0).any()
     assert kept["attrs"].str.startswith("user.email=[EMAIL]\n").all()
+
+
+def test_untraced_payloads_are_governed(spark, sf_small):
+    got = QUERIES["otlp_govern_payloads_all"](spark, sf_small).toPandas()
+    untraced = got[got["event_id"] % 10 == 0]
+    want = QUERIES["sample_keep_untraced"](spark, sf_small).toPandas().set_index("event_id")["keep"]
+    want = want[want.index % 97 != 0]
+    assert dict(zip(untraced["event_id"], untraced["kept"] == 1)) == want.to_dict()
+    assert (untraced[untraced["kept"] == 1]["email"] == "[EMAIL]").all()
