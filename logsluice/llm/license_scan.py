@@ -1,6 +1,6 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences (at . ! ? before white space, and at blank lines); a sentence of several lines that is
+A text is cut into sentences (at . ! ? before white space, but not in "v. 2.0", and at blank lines); a sentence of several lines that is
 not known as a whole counts by its lines. Sentences are normalised: lower case, letters and digits alone, one space between. Those in SENTENCES become
 their identifiers. The identifiers of a document, in order, are matched against RULES, the more specific first; a rule
 that matches takes its identifiers away, so that a shorter rule does not count them again. What is left over shows as unmatched.
@@ -93,10 +93,16 @@ RULES = [
 ]
 #: Where a sentence ends: a mark before white space, or a blank line.
 CUT = r"[.!?][ \t\r\n]+|\n[ \t\r]*\n"
+#: The same, but not after the "v." of a version, as in "v. 2.0". No other known sentence is touched: none begins with a digit or ends in "v".
+CUT_WHOLE = r"(?:[!?]|(?<!\b[vV])\.|(?<=\b[vV])\.(?![^a-zA-Z0-9]*[0-9]))[ \t\r\n]+|\n[ \t\r]*\n"
 #: One of these is in every known sentence, whatever its case (checked on import).
 NEEDED = ["licens", "permission", "redistribut", "copyright", "endorse", "free software", "public domain", "warranty"]
 
 
+#: Any of NEEDED in a text as it stands: the words of one may be a line, or a comment's mark, apart.
+ASKED = "(?i)" + "|".join(n.replace(" ", "[^a-zA-Z0-9]+") for n in NEEDED)
+
+
 def normal(sentence: str) -> str:
     """The same as normalised(), for the table above."""
     return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
@@ -120,14 +126,14 @@ def identifiers(text: Column) -> Column:
         lines = F.transform(F.split(sentence, "\n", -1), lambda s: F.element_at(known, normalised(s)))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
 
-    return F.array_compact(F.flatten(F.transform(F.split(text, CUT, -1), found)))
+    return F.array_compact(F.flatten(F.transform(F.split(text, CUT_WHOLE, -1), found)))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, sentence_ids (array, in order), licenses (array, in the order of RULES), unmatched (identifiers that no rule took)."""
     df = columns(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     none = F.array().cast("array<string>")
-    asked = F.coalesce(F.col("text").rlike("(?i)" + "|".join(NEEDED)), F.lit(False))
+    asked = F.coalesce(F.col("text").rlike(ASKED), F.lit(False))
     df = df.select("doc_id", F.when(asked, identifiers(F.col("text"))).otherwise(none).alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit("".join(f"<{i}>" for i in ids.split())).alias("ids"), F.lit(name).alias("name")) for ids, name in RULES])
     start = F.struct(F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("left"), none.alias("found"))

@@ -121,6 +121,21 @@ def test_licences(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_every_licence_sentence_is_recognised(spark):
+    sentences = list(license_scan.SENTENCES.items())
+    ways = [lambda s: s, lambda s: f"Some words before. {s} And some after it.", lambda s: "\n".join(s.split(" ")), lambda s: "# " + "\n# ".join(s.split(" "))]
+    rows = [(k * len(ways) + j, f(s)) for k, (s, _) in enumerate(sentences) for j, f in enumerate(ways) if j != 1 or s[-1] in ".!?"]
+    got = {r["doc_id"]: list(r["sentence_ids"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: [sentences[d // len(ways)][1]] for d, _ in rows} == got
+
+
+def test_a_version_does_not_end_a_sentence_elsewhere(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    rows = [(1, mpl + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."), (2, "See v. MIT License. Thanks."), (3, "Built by v. 3 people. Released under the MIT License.")]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["MPL-2.0"], 2: ["MIT"], 3: ["MIT"]}
+
+
 def test_licences_over_odd_documents(odd):
     assert ids_of(license_scan.scan(odd)) == ODD_IDS
 
