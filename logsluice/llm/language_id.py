@@ -6,7 +6,9 @@ language. The language with the fewest bits wins, the score is its share of the
 
 The automata are completed into tables: where no transition exists, the parse starts a phrase anew at the root, and the
 entry says so. Texts are cut into segments, parsed from the root each, so that thousands of segments advance together, one
-character of each at a time; all languages pay the same for the cuts. Letters are lower-cased, rare ones are one symbol, all between words is one space.
+character of each at a time; all languages pay the same for the cuts. Letters are lower-cased, all between words is one space. Each letter
+of the training text is a symbol. A language of up to LETTERS letters has a full table; one of more, as those written in Chinese, has
+its transitions as sorted keys, which costs a binary search a letter. Letters that no language has seen are one symbol.
 
 Training takes a bounded sample: about `rows` labelled texts for each language, `chars` characters of them. That text is
 broadcast (chars times the number of languages), each Python worker builds the automata from it once.
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from logsluice.llm.common import columns, frugal, in_slices, sampled_rows
 
 UNKNOWN = "und"
-#: Letters with a symbol of their own, besides the gap (0) and any other letter (1).
+#: Up to so many letters a language's transitions are a full table; its symbols are the gap (0), any other letter (1) and these.
 LETTERS = 62
 SEGMENT = 512
 #: Segments that advance together: their states fit a fast cache.
@@ -54,10 +55,9 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(both, dtype=np.uint32), np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 1
 
 
-def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of text (states x symbols, -1 where none); state 0 is the root."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of text, by state; state 0 is the root."""
     most = 2 * len(text) + 2
-    to = np.full((most, symbols), -1, dtype=np.int32)
     link, length = [-1] * most, [0] * most
     step: list[dict[int, int]] = [{}]
     last, n = 0, 1
@@ -87,43 +87,95 @@ def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    for s, d in enumerate(step):
-        if d:
-            to[s, list(d)] = list(d.values())
-    return to[:n]
+    return step
+
+
+class Table:
+    """A language's transitions over its own symbols, completed: next state times symbols, the sign bit where this symbol begins a phrase."""
+
+    def __init__(self, step: list[dict[int, int]], symbols: int) -> None:
+        to = np.full((len(step), symbols), -1, dtype=np.int32)
+        for s, d in enumerate(step):
+            if d:
+                to[s, list(d)] = list(d.values())
+        # After the states comes one in which every symbol starts a phrase: where a parse begins, and after an unseen symbol.
+        to = np.concatenate([to, np.full((1, symbols), -1, dtype=np.int32)])
+        anew = np.where(to[0] >= 0, to[0], len(to) - 1)
+        table = np.where(to >= 0, to, anew[None, :]).astype(np.int32) * symbols
+        table[to < 0] |= np.int32(-(1 << 31))
+        self.next, self.start = table.ravel(), (len(to) - 1) * symbols
+
+    def begun(self, block: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each lane. block: symbols by place and lane; live: by place, how many lanes have it."""
+        lanes = block.shape[1]
+        state, begun, v = np.full(lanes, self.start, dtype=np.int32), np.zeros(lanes, dtype=np.int32), np.empty(lanes, dtype=np.int32)
+        for t, m in enumerate(live):
+            s, w = state[:m], v[:m]
+            np.add(s, block[t, :m], out=s)
+            np.take(self.next, s, out=w, mode="clip")
+            np.bitwise_and(w, 0x7FFFFFFF, out=s)
+            np.right_shift(w, 31, out=w)
+            np.subtract(begun[:m], w, out=begun[:m])
+        return begun
+
+
+class Sparse:
+    """The same for any number of symbols: only the transitions that there are, by sorted keys of state times symbols and symbol."""
+
+    def __init__(self, step: list[dict[int, int]], symbols: int) -> None:
+        self.start = len(step) * symbols
+        key = np.array([s * symbols + c for s, d in enumerate(step) for c in d], dtype=np.int64)
+        to = np.array([x for d in step for x in d.values()], dtype=np.int64) * symbols
+        order = np.argsort(key)
+        # One key more than any that is asked for, so that every search ends at a key.
+        self.key, self.next = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0)
+        self.anew = np.full(symbols, self.start, dtype=np.int64)
+        self.anew[list(step[0])] = np.array(list(step[0].values()), dtype=np.int64) * symbols
+
+    def begun(self, block: np.ndarray, live: np.ndarray) -> np.ndarray:
+        state, begun = np.full(block.shape[1], self.start, dtype=np.int64), np.zeros(block.shape[1], dtype=np.int32)
+        for t, m in enumerate(live):
+            c = block[t, :m]
+            want = state[:m] + c
+            at = np.searchsorted(self.key, want)
+            found = self.key[at] == want
+            state[:m] = np.where(found, self.next[at], self.anew[c])
+            begun[:m] += ~found
+        return begun
 
 
 @dataclass
 class Automata:
     languages: list[str]
-    #: Symbol by code point.
+    #: Symbol by code point: the gap 0, any letter that no language has seen 1.
     symbol: np.ndarray
-    symbols: int
-    #: For each language the completed table: next state times symbols, the sign bit where this symbol begins a phrase.
-    tables: list[np.ndarray]
+    #: For each language its own symbol by that symbol (None: the same), and its transitions.
+    own: list[np.ndarray | None]
+    tables: list[Table | Sparse]
     bits: list[float]
 
     @classmethod
     def build(cls, texts: dict[str, str]) -> Automata:
         languages = sorted(texts)
         letter = is_letter()
-        often = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        known = sorted(sorted(often, key=lambda c: (-often[c], c))[:LETTERS])
+        known = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
         symbol = letter.astype(np.int32)
         symbol[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
         symbols = 2 + len(known)
-        tables, bits = [], []
+        own, tables, bits = [], [], []
         for lang in languages:
             seq = _gaps_closed(symbol[code_points([texts[lang]])[0]])
-            to = suffix_automaton(seq.tolist(), symbols)
-            # After the states comes one in which every symbol starts a phrase: where a parse begins, and after an unseen symbol.
-            to = np.concatenate([to, np.full((1, symbols), -1, dtype=np.int32)])
-            anew = np.where(to[0] >= 0, to[0], len(to) - 1)
-            table = np.where(to >= 0, to, anew[None, :]).astype(np.int32) * symbols
-            table[to < 0] |= np.int32(-(1 << 31))
-            tables.append(table.ravel())
+            mine, n = None, symbols
+            if len(known) > LETTERS:
+                used = np.unique(seq[seq > 1])
+                mine, n = np.minimum(np.arange(symbols, dtype=np.int32), 1), 2 + len(used)
+                mine[used] = np.arange(2, n)
+                seq = mine[seq]
+            step = suffix_automaton(seq.tolist())
+            own.append(mine)
+            tables.append(Table(step, n) if n <= 2 + LETTERS else Sparse(step, n))
             bits.append(math.log2(max(2, len(seq))))
-        return cls(languages, symbol, symbols, tables, bits)
+        return cls(languages, symbol, own, tables, bits)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text (texts x languages), symbols of each text, whether it has a letter."""
@@ -148,18 +200,8 @@ class Automata:
             at = np.minimum(start[lanes][None, :] + np.arange(longest)[:, None], len(seq) - 1)
             block = seq[at]
             live = np.searchsorted(-size, -np.arange(longest), side="left")
-            for k, table in enumerate(self.tables):
-                state = np.full(len(lanes), len(table) - self.symbols, dtype=np.int32)
-                begun = np.zeros(len(lanes), dtype=np.int32)
-                v = np.empty(len(lanes), dtype=np.int32)
-                for t in range(longest):
-                    m = live[t]
-                    s, w = state[:m], v[:m]
-                    np.add(s, block[t, :m], out=s)
-                    np.take(table, s, out=w, mode="clip")
-                    np.bitwise_and(w, 0x7FFFFFFF, out=s)
-                    np.right_shift(w, 31, out=w)
-                    np.subtract(begun[:m], w, out=begun[:m])
+            for k, (mine, table) in enumerate(zip(self.own, self.tables, strict=True)):
+                begun = table.begun(block if mine is None else mine[block], live)
                 out[:, k] += np.bincount(owner[lanes], weights=begun, minlength=len(texts))
         return out, n, has_letter
 

@@ -83,6 +83,28 @@ def test_language_phrases_against_a_plain_parse():
             assert got[0, k] == n, (text, lang)
 
 
+def test_language_keeps_every_learned_letter():
+    # Over 62 letters in all, the most frequent ones zz's; aa and bb have the same shape and differ only in their letters, zz has over 62 letters of its own.
+    spell = lambda first, word: "".join(chr(first + 7 * ord(c) % 40) for c in word)
+    words = "the cat sat on the mat and then it ran far away from home".split()
+    texts = {"aa": " ".join(spell(0x4E00, w) for w in words), "bb": " ".join(spell(0xAC00, w) for w in words), "en": " ".join(words) * 3, "ru": "кот сидел на окне и смотрел во двор, где шёл дождь", "zz": (" ".join(chr(0x5000 + k) + chr(0x5001 + 3 * k % 80) for k in range(80)) + " ") * 20}
+    model = language_id.Automata.build(texts)
+    assert model.predict(list(texts.values()))[0] == list(texts)
+    assert model.predict([spell(0x4E00, "cat"), spell(0xAC00, "cat"), "дождь на окне"])[0] == ["aa", "bb", "ru"]
+    for text in [*(t[:200] for t in texts.values()), "дождь the " + texts["zz"][50:90] + " ༀ " + texts["aa"][3:20]]:
+        got, _, _ = model.phrases([text])
+        for k, lang in enumerate(model.languages):
+            train, seq = "".join(_symbols(model, texts[lang] + "\n")), "".join(_symbols(model, text + "\n"))
+            at = n = 0
+            while at < len(seq):
+                m = 0
+                while at + m < len(seq) and seq[at : at + m + 1] in train:
+                    m += 1
+                at += max(1, m)
+                n += 1
+            assert got[0, k] == n, (text, lang)
+
+
 def _symbols(model, text):
     points, _ = language_id.code_points([text[:-1]])
     return [chr(200 + int(c)) for c in language_id._gaps_closed(model.symbol[points])]
