@@ -105,33 +105,35 @@ def _coin(seed: int) -> Iterator[float]:
 
 
 def _fly(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """One round over rows (key, doc_id, source, size, copies, p); buckets: per source, how many. A source's only bucket lands."""
+    """One round over rows (key, doc_id, row, source, size, copies, p); buckets: per source, how many. A source's only bucket lands."""
     dealt = rows.join(buckets, rows["source"].eqNullSafe(buckets["of"])).drop("of")
     dealt = dealt.withColumn("bucket", F.pmod("key", "n").cast("long"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        g = g.sort_values(["size", "key", "doc_id", "row"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         g["p"] = flight(g["p"].tolist(), g["size"].tolist(), _coin(int(g["key"].iloc[0]) & (1 << 64) - 1), g["n"].iloc[0] == 1)
-        return g[["key", "doc_id", "source", "size", "copies", "p"]]
+        return g[["key", "doc_id", "row", "source", "size", "copies", "p"]]
 
-    return dealt.groupBy("source", "bucket").applyInPandas(run, "key long, doc_id long, source string, size long, copies long, p double")
+    return dealt.groupBy("source", "bucket").applyInPandas(run, "key long, doc_id long, row long, source string, size long, copies long, p double")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeat: float = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeat: float = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's), copies, taken (copies * size).
 
+    row_col: a long column that tells rows apart, returned as row; as they have it, rows that share an id are told apart.
     weights: of the sources in code point order, null last, repeating. Totals per source go to the driver: a row for each source.
     """
     spark = docs.sparkSession
-    sized = columns(docs, doc_id=(id_col, "long"), source=(source_col, "string"), text=(text_col, "string"))
-    sized = written(sized.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = columns(docs, doc_id=(id_col, "long"), source=(source_col, "string"), text=(text_col, "string"), **({"row": (row_col, "long")} if row_col else {}))
+    sized = sized if row_col else sized.withColumn("row", F.lit(0).cast("long"))
+    sized = written(sized.select("doc_id", "row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     of = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     of.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     goal = targets([float(r["s"]) for r in of], [float(weights[i % len(weights)]) for i in range(len(of))], share, max_repeat)
     plan = spark.createDataFrame([(r["source"], r["s"], t, t / r["s"] if r["s"] else 0.0) for r, t in zip(of, goal, strict=True)], "of string, source_size long, target double, rate double")
     plan = F.broadcast(plan) if len(of) <= SMALL else plan
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select(
-        F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size").alias("key"), "doc_id", "source", "size",
+        F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size").alias("key"), "doc_id", "row", "source", "size",
         F.floor("rate").cast("long").alias("copies"), (F.col("rate") - F.floor("rate")).alias("p"),
     )
     kind = "of string, n long"
@@ -148,4 +150,4 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     if decided is None:
         decided = rows
     out = decided.withColumn("copies", F.col("copies") + F.col("p").cast("long"))
-    return out.join(plan, out["source"].eqNullSafe(plan["of"])).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.join(plan, out["source"].eqNullSafe(plan["of"])).select("doc_id", *(["row"] if row_col else []), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
