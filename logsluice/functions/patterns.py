@@ -182,6 +182,46 @@ def checked(name: str, pattern: str, spark: SparkSession | None = None) -> str:
     return java
 
 
+def required_literal(java: str) -> str | None:
+    """A text that every match holds, the longest that stands outside of groups and classes; None where none is sure."""
+    if "(?" in java.replace("(?:", "").replace("(?<", "") or "\\Q" in java:  # flags may change what a letter means
+        return None
+    runs, run, depth, i, n = [], "", 0, 0, len(java)
+    while i < n:
+        c, end, literal = java[i], i + 1, None
+        if c == "\\":
+            end = i + 2
+            literal = java[i + 1] if i + 1 < n and not java[i + 1].isalnum() else None
+            if java[i + 1 : i + 2] in ("p", "P", "x", "u", "c", "k", "N", "0"):
+                return None
+        elif c == "[":
+            end = _class_end(java, i)
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|":
+            if depth == 0:
+                return None
+        elif c not in "^$.*+?{}":
+            literal = c
+        endless, width = _quantifier(java, end) if end < n and c not in "(|" else (False, 0)
+        if depth or literal is None or c in "()":
+            runs, run = runs + [run], ""
+        elif width:
+            # Repeated: once at least it is there, unless it may be left out.
+            least = 1 if java[end] == "+" else 0 if java[end] in "*?" else int(java[end + 1 : end + width].split(",")[0].split("}")[0] or 0)
+            runs, run = runs + [run + literal if least == 1 and not endless else run, literal if least else ""], ""
+        else:
+            run += literal
+        i = end + width
+    return _best(runs + [run])
+
+
+def _best(runs: list[str]) -> str | None:
+    return max(runs, key=len, default="") or None
+
+
 def replacement(mask: str) -> str:
     """A mask as regexp_replace needs it to be taken literally."""
     return mask.replace("\\", "\\\\").replace("$", "\\$")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.functions.wire import saved
 
 WINDOW = "10 seconds"
+#: Windows in a bucket, while gaps are filled.
+SPAN = 8640
 COUNTERS = ("events_in", "events_sampled_out", "events_exported", "bytes_in", "bytes_dropped", "bytes_exported", "redaction_count", "failopen_count")
 
 
@@ -51,15 +53,33 @@ def window_aggregate(sampled: DataFrame, width: str = WINDOW) -> DataFrame:
 
 
 def gap_filled(windows: DataFrame, policy_version: int, from_ms: int | None = None, to_ms: int | None = None, width: str = WINDOW) -> DataFrame:
-    """Every window from the first (or from_ms) up to the last (or before to_ms), zeros where nothing came, numbered from 0."""
+    """Every window from the first (or from_ms) up to the last (or before to_ms), zeros where nothing came, numbered from 0.
+
+    Gaps are made from the windows themselves: each begins a run that reaches up to the next one. Windows that came are few
+    beside what they sum up, and are put in order by a range sort whose partitions hand each other their last window.
+    """
     ms = int(width.split()[0]) * 1000
-    if from_ms is None or to_ms is None:
-        lo, hi = windows.agg(F.min("window_start_ms"), F.max("window_start_ms")).first()
-        from_ms, to_ms = (from_ms if from_ms is not None else lo), (to_ms if to_ms is not None else None if hi is None else hi + ms)
-    n = 0 if from_ms is None or to_ms is None else max(0, (to_ms - from_ms) // ms)
-    spine = windows.sparkSession.range(n).select(F.col("id").alias("seq"), (F.lit(from_ms or 0) + F.col("id") * ms).cast("long").alias("window_start_ms"))
-    filled = spine.join(windows.drop("window_end_ms"), "window_start_ms", "left")
-    return filled.select("seq", "window_start_ms", (F.col("window_start_ms") + ms).alias("window_end_ms"), F.lit(str(policy_version)).cast("decimal(20,0)").alias("policy_version"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTERS])
+    some = windows.drop("window_end_ms")
+    if from_ms is not None:
+        some = some.where(F.col("window_start_ms") >= from_ms)
+    if to_ms is not None:
+        some = some.where(F.col("window_start_ms") < to_ms)
+    # Who follows whom: within buckets of so many windows, then from bucket to bucket (a row for each).
+    bucket = F.floor(F.col("window_start_ms") / (ms * SPAN))
+    one = some.withColumn("b", bucket).withColumn("next_ms", F.lead("window_start_ms").over(Window.partitionBy("b").orderBy("window_start_ms")))
+    first = some.groupBy(bucket.alias("bb")).agg(F.min("window_start_ms").alias("first_ms"))
+    chain = first.withColumn("after_ms", F.lead("first_ms").over(Window.orderBy("bb"))).withColumn("start_ms", F.min("first_ms").over(Window.partitionBy()))
+    end = F.lit(to_ms).cast("long")
+    one = one.join(chain, F.col("b") == F.col("bb"))
+    start = F.lit(from_ms).cast("long") if from_ms is not None else F.col("start_ms")
+    last = F.coalesce("next_ms", "after_ms", end, F.col("window_start_ms") + ms)
+    lead = F.when(F.col("window_start_ms") == F.col("start_ms"), start).otherwise(F.col("window_start_ms"))
+    runs = one.withColumn("at", F.explode(F.sequence(lead, last - ms, F.lit(ms).cast("long"))))
+    there = F.col("at") == F.col("window_start_ms")
+    return runs.select(
+        ((F.col("at") - start) / ms).cast("long").alias("seq"), F.col("at").alias("window_start_ms"), (F.col("at") + ms).alias("window_end_ms"), F.lit(str(policy_version)).cast("decimal(20,0)").alias("policy_version"),
+        *[F.when(there, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in COUNTERS],
+    )
 
 
 def as_line(df: DataFrame) -> DataFrame:
@@ -71,25 +91,39 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def now_ms() -> Column:
+    """Epoch milliseconds of the query's beginning."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def percentile(df: DataFrame, column: str, p: float, exact_rank: bool = False) -> DataFrame:
-    """The p-th percentile: interpolated, or the value at the nearest rank round((n - 1) p), found without gathering values."""
-    if not exact_rank:
-        return df.agg(F.percentile(column, p).alias("value"))
+    """The p-th percentile: interpolated between the two values next to (n - 1) p, or the value at the nearest rank round((n - 1) p).
+
+    Neither gathers values: different ones are counted and sorted by range, and the ranks sought are found in one or two ranges.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
     if not total:
         return df.agg(F.max(column).alias("value"))
-    rank = int((total - 1) * p + 0.5)
+    place = (total - 1) * p
+    if exact_rank:
+        return _at_rank(counts, column, int(place + 0.5))
+    low = int(place)
+    if low == place:
+        return _at_rank(counts, column, low).select(F.col("value").cast("double").alias("value"))
+    ends = _at_rank(counts, column, low).select(F.col("value").alias("a")).crossJoin(_at_rank(counts, column, low + 1).select(F.col("value").alias("b")))  # one row each
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(place - low)).cast("double").alias("value"))
+
+
+def _at_rank(counts: DataFrame, column: str, rank: int) -> DataFrame:
+    """The value with this rank, from 0, of values with their counts."""
     # Ranks of different values, by the sums of range partitions: a window over all rows would be one task.
     ordered = counts.repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    parts = ordered.groupBy("part").agg(F.sum("n").alias("size")).orderBy("part").collect()
     seen, part = 0, None
-    for r in parts:
+    for r in ordered.groupBy("part").agg(F.sum("n").alias("size")).orderBy("part").collect():  # a row for each partition
         if seen + r["size"] > rank:
             part = r["part"]
             break
         seen += r["size"]
-    from pyspark.sql import Window
-
     within = ordered.where(F.col("part") == part).withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy(column)))
     return within.where(F.col("upto") > rank - seen).agg(F.min(column).alias("value"))

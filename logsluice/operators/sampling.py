@@ -38,11 +38,15 @@ def bucket(trace_id: Column, service: Column, body: Column) -> Column:
     return F.when(trace.isNotNull(), trace_bucket(trace)).otherwise(bucket_of(fallback_key(service, body)))
 
 
-def keep(policy: CompiledPolicy, df: DataFrame) -> Column:
-    percent = target(policy, df["namespace"], df["severity_number"])
+def kept(policy: CompiledPolicy, namespace: Column, severity: Column, trace_id: Column, service: Column, body: Column) -> Column:
+    """Whether a record stays."""
     if not policy.sampling and policy.default_target in (0, 100):
         return F.lit(policy.default_target == 100)  # nothing to hash for
-    return bucket(df["trace_id"], df["service_name"], df["body"]) < percent
+    return bucket(trace_id, service, body) < target(policy, namespace, severity)
+
+
+def keep(policy: CompiledPolicy, df: DataFrame) -> Column:
+    return kept(policy, df["namespace"], df["severity_number"], df["trace_id"], df["service_name"], df["body"])
 
 
 def sample(df: DataFrame, policy: CompiledPolicy) -> DataFrame:
@@ -58,12 +62,19 @@ def rule_table(spark: SparkSession, policy: CompiledPolicy) -> DataFrame:
 
 
 def target_by_table(df: DataFrame, rules: DataFrame, default: int, key: str, most: int = 10_000) -> DataFrame:
-    """df with target, by rules that are rows: for policies that change as data. Up to `most` rules, which are broadcast; key: a unique column."""
-    if rules.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rules")
-    met = F.coalesce(F.col("ns_like").isNull() | F.expr("namespace LIKE ns_like"), F.lit(False)) & F.coalesce(F.col("sev_max").isNull() | (F.col("severity_number") <= F.col("sev_max")), F.lit(False))
-    few = df.select(key, "namespace", "severity_number")
-    found = few.join(F.broadcast(rules.withColumnRenamed("target", "rule_target")), met, "left").groupBy(key).agg(F.min_by("rule_target", "idx").alias("found"))
+    """df with target, by rules that are rows: for policies that change as data. key: a column that tells rows apart.
+
+    Up to `most` rules are one array in the plan, searched within the row, without an exchange; more are joined.
+    """
+    few = rules.select("idx", "ns_like", "sev_max", "target").orderBy("idx").limit(most + 1).collect()
+    namespace, severity = F.col("namespace"), F.col("severity_number")
+    if len(few) <= most:
+        row = lambda r: F.struct(F.lit(r["ns_like"]).cast("string").alias("ns_like"), F.lit(r["sev_max"]).cast("int").alias("sev_max"), F.lit(r["target"]).alias("target"))
+        table = F.array(*map(row, few)) if few else F.array().cast("array<struct<ns_like:string,sev_max:int,target:int>>")
+        met = lambda r: F.coalesce((r["ns_like"].isNull() | F.like(namespace, r["ns_like"])) & (r["sev_max"].isNull() | (severity <= r["sev_max"])), F.lit(False))
+        return df.withColumn("target", F.coalesce(F.get(F.filter(table, met), F.lit(0))["target"], F.lit(default)))
+    met = F.coalesce(F.col("ns_like").isNull() | F.expr("namespace LIKE ns_like"), F.lit(False)) & F.coalesce(F.col("sev_max").isNull() | (severity <= F.col("sev_max")), F.lit(False))
+    found = df.select(key, "namespace", "severity_number").join(rules.withColumnRenamed("target", "rule_target"), met, "left").groupBy(key).agg(F.min_by("rule_target", "idx").alias("found"))
     return df.join(found, key).withColumn("target", F.coalesce("found", F.lit(default))).drop("found")
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import cache
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from logsluice.functions import hashing, patterns, wire
 from logsluice.operators import accounting, governance, redaction, sampling
 from logsluice.plans.policy import CompiledPolicy, compile_policy, from_yaml, severity_max
 from logsluice.sources import otlp, spool
-from logsluice.sources.logs import as_logs, events_as_logs
+from logsluice.sources.logs import as_logs, event_requests, events_as_logs, spread, synthetic
 from logsluice.streaming import pipeline
 
 POLICY = r"""
@@ -54,6 +53,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are long to work on: over all cores even where it is one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 @query
 def sample_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = events_as_logs(spark, sf_dir).where("trace_hex IS NOT NULL")
@@ -96,12 +100,6 @@ def severity_band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def namespace_keep_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = events_as_logs(spark, sf_dir).where("trace_hex IS NOT NULL")
-    return sampling.keep_rate(sampling.sample(logs, policy(spark)), "namespace")
-
-
-@query
-def namespace_keep_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.keep_rate(sampling.sample(events_as_logs(spark, sf_dir), policy(spark)), "namespace")
 
 
@@ -121,12 +119,12 @@ def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def redact_email_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = policy(spark).redaction[0]
-    return table(spark, sf_dir, "documents").select("doc_id", redaction.redact_text(F.col("text"), [rule]).alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", redaction.redact_text(F.col("text"), [rule]).alias("text"))
 
 
 @query
 def redact_multi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", redaction.redact_text(F.col("text"), policy(spark).redaction).alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", redaction.redact_text(F.col("text"), policy(spark).redaction).alias("text"))
 
 
 @query
@@ -138,100 +136,66 @@ def redact_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redaction_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("body"))
+    docs = texts(spark, sf_dir, "documents").select(F.col("text").alias("body"))
     return redaction.rule_counts(docs, policy(spark))
 
 
 @query
 def detect_pii_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages")
     return pages.select("page_id", *[F.coalesce(F.col("html").rlike(r.pattern), F.lit(False)).alias(r.name) for r in policy(spark).redaction])
 
 
 @query
 def prefilter_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = policy(spark).redaction
-    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(c).alias("x")) for t, c in (("documents", "text"), ("conversations", "text"), ("benchmark", "text"), ("pages", "html"))]
+    parts = [texts(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(c).alias("x")) for t, c in (("documents", "text"), ("conversations", "text"), ("benchmark", "text"), ("pages", "html"))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(redaction.any_match(F.col("x"), rules)).alias("hits"))
 
 
-@query
-def govern_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = events_as_logs(spark, sf_dir).where("trace_hex IS NOT NULL")
-    return governance.govern_rows(logs.drop("attrs"), policy(spark)).select("event_id", "request_id", "namespace", "body")
-
-
-@query
-def request_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = events_as_logs(spark, sf_dir).where("trace_hex IS NOT NULL").drop("attrs")
-    return governance.govern(logs, policy(spark)).stats.drop("received_at")
-
-
-@query
-def bytes_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = request_stats(spark, sf_dir)
-    return stats.agg(F.sum(wire.saved(F.col("bytes_in"), F.col("bytes_out"))).cast("long").alias("saved"), F.sum(F.col("bytes_in") - F.col("bytes_out")).cast("long").alias("net"))
-
-
-@query
-def window_10s_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = events_as_logs(spark, sf_dir).where("trace_hex IS NOT NULL").drop("attrs")
-    return accounting.window_aggregate(accounting.samples(governance.govern(logs, policy(spark)).stats))
-
-
-@query
-def window_10s_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = window_10s_aggregate(spark, sf_dir)
-    first = windows.agg(F.min("window_start_ms")).first()[0]
-    out = accounting.gap_filled(windows, policy(spark).fingerprint, first, first + 3_600_000)
-    return out.drop("policy_version")
-
-
-@query
-def window_10s_gapfill_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every window from the first to the last; window_10s_gapfill is held to its SQL, which is the first hour."""
-    return accounting.gap_filled(window_10s_aggregate(spark, sf_dir), policy(spark).fingerprint).drop("policy_version")
-
-
 def _attrs_line() -> Column:
     return F.array_join(F.transform("attrs", lambda a: F.concat(a["key"], F.lit("="), a["value"])), "\n").alias("attrs")
 
 
-# The queries above without _all are held to SQL over the traced records and their bodies; these take all records, with their attributes.
 @query
-def govern_logs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def govern_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.govern_rows(events_as_logs(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body", _attrs_line())
 
 
-def _all_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.govern(events_as_logs(spark, sf_dir), policy(spark)).stats
 
 
 @query
-def request_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_stats(spark, sf_dir).drop("received_at")
+def request_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).drop("received_at")
 
 
 @query
-def bytes_saved_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bytes_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     size_in, size_out = F.col("bytes_in"), F.col("bytes_out")
-    return _all_stats(spark, sf_dir).agg(F.sum(wire.saved(size_in, size_out)).cast("long").alias("saved"), F.sum(size_in - size_out).cast("long").alias("net"))
+    return _stats(spark, sf_dir).agg(F.sum(wire.saved(size_in, size_out)).cast("long").alias("saved"), F.sum(size_in - size_out).cast("long").alias("net"))
 
 
 @query
-def window_10s_aggregate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.window_aggregate(accounting.samples(_all_stats(spark, sf_dir)))
+def window_10s_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.window_aggregate(accounting.samples(_stats(spark, sf_dir)))
 
 
 @query
-def window_10s_gapfill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.gap_filled(window_10s_aggregate_all(spark, sf_dir), policy(spark).fingerprint).drop("policy_version")
+def window_10s_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.gap_filled(window_10s_aggregate(spark, sf_dir), policy(spark).fingerprint).drop("policy_version")
 
 
 @query
-def aggregate_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.as_json(window_10s_gapfill_all(spark, sf_dir).select("seq", *accounting.COUNTERS))
+def aggregate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.as_json(window_10s_gapfill(spark, sf_dir).select("seq", *accounting.COUNTERS))
+
+
+@query
+def aggregate_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounting.as_line(window_10s_gapfill(spark, sf_dir).select("seq", "events_in", "bytes_in", "redaction_count"))
 
 
 @query
@@ -284,44 +248,28 @@ def encode_request(records: list[bytes], namespace: str | None, service: str | N
     return f(otlp.RESOURCE_LOGS, f(otlp.RESOURCE, pairs) + f(otlp.SCOPE_LOGS, b"".join(f(otlp.LOG_RECORDS, r) for r in records)))
 
 
-def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request for each event, in protobuf; every 97th is cut short."""
-    logs = events_as_logs(spark, sf_dir).select("event_id", "received_at", "body", "trace_id", "severity_number", "namespace", "service_name")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = []
-            for i, _, body, trace, severity, namespace, service in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                one = encode_request([_encoded(body, trace, severity, [("user.email", "a@corp.io"), ("note", body)], i % 2 == 0)], namespace, service)
-                raw.append(one[:-3] if i % 97 == 0 else one)
-            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in batch.column(0).to_pylist()]), batch.column(1), pa.array(raw, pa.binary())], names=["request_id", "received_at", "raw"])
-
-    return logs.mapInArrow(run, "request_id string, received_at timestamp, raw binary")
-
-
 @query
 def otlp_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = otlp.decode(event_payloads(spark, sf_dir))
-    return got.select(F.col("request_id").cast("long").alias("event_id"), "body", F.col("trace_id").cast("string").alias("trace_hex"), "severity_number", "namespace", "service_name", F.size("attrs").cast("long").alias("n_attrs"))
+    got = otlp.decode(event_requests(spark, sf_dir))
+    value = lambda k: F.get(F.col("attrs"), F.lit(k))["value"]
+    return got.select(
+        F.col("request_id").cast("long").alias("request_id"), F.col("record_idx").cast("long").alias("record_idx"), "body", F.col("trace_id").cast("string").alias("trace_hex"), "severity_number", "namespace", "service_name",
+        F.array_join("attrs.key", ",").alias("keys"), value(0).alias("email"), value(1).alias("note"),
+    )
 
 
 @query
 def otlp_govern_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = otlp.govern_payloads(event_payloads(spark, sf_dir), policy(spark))
-    again = otlp.decode_requests(out.select("request_id", "received_at", F.col("payload").alias("raw")))
-    body = again.select("request_id", F.get("records", F.lit(0))["body"].cast("string").alias("body"))
-    return out.where("NOT parse_bypassed").join(body, "request_id").select(F.col("request_id").cast("long").alias("event_id"), "kept", "dropped", "body").where("event_id % 10 <> 0")
+    """Every request, those cut short as well: the bytes that leave, by their hash, and the counts."""
+    out = otlp.govern_payloads(event_requests(spark, sf_dir), policy(spark))
+    return out.select(F.col("request_id").cast("long").alias("request_id"), F.md5(F.hex("payload")).alias("payload_md5"), "records_in", "kept", "dropped", "redactions", "bytes_in", "bytes_out", "parse_bypassed")
 
 
 @query
-def otlp_govern_payloads_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every well-formed request, of untraced records too, with what stands in the bytes written back; the query above is held to SQL without the untraced."""
-    out = otlp.govern_payloads(event_payloads(spark, sf_dir), policy(spark))
-    again = otlp.decode_requests(out.select("request_id", "received_at", F.col("payload").alias("raw")))
-    first = F.get("records", F.lit(0))
-    value = lambda k: F.get(first["attrs"], F.lit(k))["value"]
-    written = again.select("request_id", first["body"].cast("string").alias("body"), value(0).alias("email"), value(1).alias("note"))
-    return out.where("NOT parse_bypassed").join(written, "request_id").select(F.col("request_id").cast("long").alias("event_id"), "kept", "dropped", "redactions", "body", "email", "note")
+def otlp_open_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with redaction bypassed: requests are sampled, texts leave as they came."""
+    out = otlp.govern_payloads(event_requests(spark, sf_dir), policy(spark), redact=False)
+    return out.select(F.col("request_id").cast("long").alias("request_id"), F.md5(F.hex("payload")).alias("payload_md5"), "records_in", "kept", "redactions", "bytes_out", "redact_bypassed")
 
 
 @query
@@ -341,16 +289,6 @@ def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.percentile(table(spark, sf_dir, "events"), "value", 0.99, exact_rank=True)
 
 
-@query
-def aggregate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.as_json(window_10s_gapfill(spark, sf_dir).select("seq", *accounting.COUNTERS))
-
-
-@query
-def aggregate_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.as_json(window_10s_gapfill_whole(spark, sf_dir).select("seq", *accounting.COUNTERS))
-
-
 @query
 def request_size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("raw"))
@@ -364,59 +302,101 @@ def content_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", wire.is_grpc(kind).alias("grpc"))
 
 
-def _all_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of logs, one file a batch."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
     return as_logs(spark, events)
 
 
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_events_stream(spark, sf_dir).where("trace_hex IS NOT NULL").drop("attrs")
-
-
-def _streamed(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives until its source is read, as a table in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All that a stream appends until its source is read, as a table in the shared folder."""
+    path = _shared(spark)
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(land).outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 @query
 def stream_govern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipeline.govern_stream(_events_stream(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body")
-    return _streamed(spark, rows, "append")
+    rows = pipeline.govern_stream(_events_stream(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body", _attrs_line())
+    return _streamed(spark, rows)
 
 
-def _stream_windows(spark: SparkSession, events: DataFrame) -> DataFrame:
-    logs = redaction.redact(sampling.sample(events, policy(spark)).withColumn("size_in", F.octet_length("body")), policy(spark))
-    kept, size = F.col("keep").cast("long"), F.octet_length("body")
-    one = logs.select(
-        "received_at", F.lit(1).cast("long").alias("events_in"), (1 - kept).alias("events_sampled_out"), kept.alias("events_exported"), F.col("size_in").cast("long").alias("bytes_in"),
-        wire.saved(F.col("size_in").cast("long"), kept * size).alias("bytes_dropped"), (kept * size).alias("bytes_exported"), F.col("n_redactions").alias("redaction_count"), F.lit(0).cast("long").alias("failopen_count"),
-    )
-    return _streamed(spark, pipeline.window_stream(one), "complete")
+@query
+def stream_govern_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By foreachBatch, behind the breaker."""
+    path = _shared(spark)
+    land = lambda rows, number: rows.select("event_id", "request_id", "namespace", "body", _attrs_line()).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    pipeline.start(_events_stream(spark, sf_dir), pipeline.governed_batches(lambda: policy(spark), land), f"{path}/checkpoint", None).awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 @query
-def stream_govern_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pipeline.govern_stream(_all_events_stream(spark, sf_dir), policy(spark)).select("event_id", "request_id", "namespace", "body", _attrs_line())
-    return _streamed(spark, rows, "append")
+def stream_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows in append mode: each leaves once the watermark has passed it; the last, partial ones come from the samples behind the last window that left."""
+    path = _shared(spark)
+    accounting.samples(_stats(spark, sf_dir)).write.parquet(f"{path}/samples")
+    samples = spark.read.parquet(f"{path}/samples")
+    left = _streamed(spark, pipeline.window_stream(spark.readStream.schema(samples.schema).parquet(f"{path}/samples")))
+    last = left.agg(F.max("window_end_ms")).first()[0] or 0
+    return left.unionByName(accounting.window_aggregate(samples.where(F.unix_millis("received_at") >= last)))
 
 
 @query
-def stream_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_windows(spark, _events_stream(spark, sf_dir))
+def synthetic_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = synthetic(spark, 500)
+    return got.select("request_id", F.col("record_idx").cast("long").alias("record_idx"), F.unix_millis("received_at").alias("at_ms"), "body", F.lower(F.hex("trace_id")).alias("trace_hex"), "namespace", F.array_join("attrs.key", ",").alias("keys"))
+
+
+@query
+def rule_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules in the policy's order, and the number of each one's mask in the table of masks."""
+    p = policy(spark)
+    return spark.createDataFrame([(k, r.name, r.mask, p.masks.index(r.mask), r.name in p.rule_names) for k, r in enumerate(p.redaction)], "idx long, name string, mask string, mask_idx long, listed boolean")
+
+
+@query
+def pattern_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over patterns made by rule: a group of one item with a quantifier each on the item and the group."""
+    marks = ["", "?", "+", "*", "{2}", "{2,}", "{2,5}", "+?"]
+    rows = [(i, a, b, patterns.nested_repetition(f"x({i}{a}){b}y") is not None) for i in ("[0-9]", "m", r"\\w", "(?:pq)") for a in marks for b in marks]
+    return spark.createDataFrame(rows, "item string, inner_mark string, outer_mark string, rejected boolean")
+
+
+@query
+def severity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest severity of each band's name, whatever its case."""
+    names = [f(n) for n in ("trace", "debug", "info", "warn", "warning", "error", "fatal") for f in (str.lower, str.upper, str.title)]
+    return spark.createDataFrame([(n, severity_max(n)) for n in names], "name string, most long")
+
+
+@query
+def varint_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_orderkey").cast("long") * F.col("l_partkey") + F.col("l_suppkey")
+    return table(spark, sf_dir, "lineitem").select(n.alias("value"), wire.varint_hex(n).alias("digits")).distinct()
+
+
+@query
+def status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each verdict answers, over HTTP and gRPC."""
+    verdict = F.element_at(F.array(*map(F.lit, wire.STATUS)), (F.col("event_id") % len(wire.STATUS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", wire.http_status(verdict).alias("http"), wire.grpc_status(verdict).alias("grpc"))
 
 
 @query
-def stream_window_10s_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream_windows(spark, _all_events_stream(spark, sf_dir))
+def wall_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the clock of the counters stands within a day of the driver's."""
+    return spark.range(1).select((F.abs(accounting.now_ms() - F.lit(time.time_ns() // 1_000_000)) < 86_400_000).alias("agrees"))
 
 
 @query

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 from logsluice.errors import ParseError
 from logsluice.sources.otlp import parse
@@ -51,7 +51,7 @@ class OtlpSource(DataSource):
     def reader(self, schema: object) -> DataSourceReader:
         return Reader(self.options)
 
-    def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: object) -> DataSourceStreamReader:
         return StreamReader(self.options)
 
 
@@ -68,22 +68,41 @@ class Reader(DataSourceReader):
             yield from rows_of(path)
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """By file name, oldest first; at most maxFilesPerTrigger a batch."""
+class StreamReader(DataSourceStreamReader):
+    """New files of each batch, oldest first, parsed by the executors; at most maxFilesPerTrigger a batch.
+
+    Files are known by (time of change, name), and each batch names its files: one that lands late under an earlier name is
+    taken as well. Those of the last `remembered` seconds are remembered, so a file is not read twice.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.folder, self.most = options["path"], int(options.get("maxFilesPerTrigger", "256"))
+        self.folder, self.most, self.per_task = options["path"], int(options.get("maxFilesPerTrigger", "256")), int(options.get("filesPerTask", "16"))
+        self.remembered = float(options.get("remembered", "3600"))
+        self.at: dict | None = None
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        paths = [p for p in listed(self.folder) if os.path.basename(p) > start["after"]][: self.most]
-        end = {"after": os.path.basename(paths[-1])} if paths else start
-        return iter([r for p in paths for r in rows_of(p)]), end
+        return {"batch": 0, "since": 0, "seen": [], "files": []}
+
+    def latestOffset(self) -> dict:
+        now = self.at or self.initialOffset()
+        seen = set(now["seen"])
+        times = {p: os.stat(p).st_mtime_ns for p in listed(self.folder)}
+        new = sorted((t, p) for p, t in times.items() if t >= now["since"] and os.path.basename(p) not in seen)[: self.most]
+        if new:
+            since = max(now["since"], new[-1][0] - int(self.remembered * 1e9))
+            kept = [os.path.basename(p) for p, t in times.items() if t >= since and os.path.basename(p) in seen]
+            now = {"batch": now["batch"] + 1, "since": since, "seen": sorted([*kept, *(os.path.basename(p) for _, p in new)]), "files": [p for _, p in new]}
+        self.at = now
+        return now
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = self.at or end
+        paths = end["files"] if end["batch"] != start["batch"] else []
+        return [Files(paths[k : k + self.per_task]) for k in range(0, len(paths), self.per_task)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for p in listed(self.folder) if start["after"] < os.path.basename(p) <= end["after"] for r in rows_of(p)])
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from rows_of(path)
 
 
 def register(spark: SparkSession) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import threading
+import time
 from collections.abc import Callable
 from pathlib import Path
 
@@ -43,6 +45,11 @@ def usage(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.max("seq") + 1, F.lit(0)).cast("decimal(20,0)").alias("next_seq"))
 
 
+def jitter() -> float:
+    """0 to 0.249 seconds by the clock, so that many agents don't come back at once."""
+    return time.time_ns() // 1000 % 250 / 1000
+
+
 class Spool:
     """The driver's side: push, drain, recovery. Files appear whole or not at all."""
 
@@ -55,19 +62,20 @@ class Spool:
                 p.unlink()
             elif m := re.fullmatch(NAME, p.name):
                 self.sizes[int(m[1])] = p.stat().st_size
-        self.next_seq = max(self.sizes, default=-1) + 1
+        self.next_seq, self.used = max(self.sizes, default=-1) + 1, sum(self.sizes.values())
 
     def stats(self) -> tuple[int, int]:
         with self.lock:
-            return len(self.sizes), sum(self.sizes.values())
+            return len(self.sizes), self.used
 
     def push(self, payload: bytes) -> int:
         """Its number. Raises SpoolError where it would not fit; nothing is removed to make room."""
         with self.lock:
-            if sum(self.sizes.values()) + len(payload) > self.max_bytes:
+            if self.used + len(payload) > self.max_bytes:
                 raise SpoolError("full")
             seq, self.next_seq = self.next_seq, self.next_seq + 1
             self.sizes[seq] = len(payload)  # reserved
+            self.used += len(payload)
         path = self.folder / f"{seq:020d}.otlp"
         try:
             with open(path.with_suffix(".tmp"), "wb") as f:
@@ -76,11 +84,14 @@ class Spool:
                 os.fsync(f.fileno())
             os.rename(path.with_suffix(".tmp"), path)
         except OSError as e:
-            with self.lock:
-                self.sizes.pop(seq, None)
+            self._forget(seq)
             raise SpoolError(str(e)) from e
         return seq
 
+    def _forget(self, seq: int) -> None:
+        with self.lock:
+            self.used -= self.sizes.pop(seq, 0)
+
     def drain_one(self, send: Callable[[bytes], None]) -> str:
         """Sends the oldest file and removes it once that worked: empty, sent, or retry (it stays, and stays first)."""
         with self.lock:
@@ -90,21 +101,22 @@ class Spool:
         path = self.folder / f"{seq:020d}.otlp"
         try:
             send(path.read_bytes())
-            path.unlink()
         except Exception:
             return "retry"
-        with self.lock:
-            self.sizes.pop(seq, None)
+        # Delivered is delivered: a file that can't be removed is not sent again by this process.
+        with contextlib.suppress(OSError):
+            path.unlink()
+        self._forget(seq)
         return "sent"
 
     def drain(self, send: Callable[[bytes], None], wait: Callable[[float], bool], idle: float = 1.0, first: float = 1.0, most: float = 30.0) -> None:
-        """Until wait(seconds) says stop: pauses double from `first` to `most` while sending fails."""
+        """Until wait(seconds) says stop: pauses double from `first` to `most` while sending fails, each with up to a quarter second more."""
         pause = first
         while True:
             got = self.drain_one(send)
             if got == "sent":
                 pause = first
                 continue
-            if wait(idle if got == "empty" else pause):
+            if wait(idle if got == "empty" else pause + jitter()):
                 return
             pause = first if got == "empty" else min(most, pause * 2)

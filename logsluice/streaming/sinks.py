@@ -12,6 +12,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logsluice.errors import ForwardError, SinkError
 
@@ -65,19 +66,38 @@ def forward(endpoint: str, payload: bytes, timeout: float = 10, context: ssl.SSL
         raise ForwardError(str(e)) from e
 
 
-def forward_all(payloads: DataFrame, endpoint: str) -> DataFrame:
-    """Sends the payloads from the executors: request_id, delivered, error. Failed ones are for the spool."""
+def client_context(roots: str | None = None, certificate: str | None = None, key: str | None = None) -> ssl.SSLContext:
+    """TLS for a client that checks the server's name and chain: the system's roots, or those of a PEM file; with a certificate of its own if given."""
+    context = ssl.create_default_context(cafile=roots)
+    context.minimum_version = ssl.TLSVersion.TLSv1_2
+    if certificate:
+        context.load_cert_chain(certificate, key)
+    return context
+
+
+def forward_with(timeout: float = 10, roots: str | None = None, certificate: str | None = None, key: str | None = None) -> Callable[[str, bytes], None]:
+    """forward() with these settings, for executors: the context is made where it is used."""
+
+    def send(endpoint: str, payload: bytes) -> None:
+        forward(endpoint, payload, timeout, client_context(roots, certificate, key) if endpoint.startswith("https") else None)
+
+    return send
+
+
+def forward_all(payloads: DataFrame, endpoint: str, send: Callable[[str, bytes], None] = forward) -> DataFrame:
+    """Sends the payloads from the executors, each partition in order: request_id, received_at, delivered, error, and the payload of failed ones, for the spool."""
     logs_url(endpoint)
+    rows = payloads.select("request_id", *(["received_at"] if "received_at" in payloads.columns else [F.current_timestamp().alias("received_at")]), "payload")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             errors = []
             for payload in pdf["payload"]:
                 try:
-                    forward(endpoint, bytes(payload))
+                    send(endpoint, bytes(payload))
                     errors.append(None)
                 except ForwardError as e:
                     errors.append(str(e))
-            yield pd.DataFrame({"request_id": pdf["request_id"], "delivered": [e is None for e in errors], "error": errors})
+            yield pd.DataFrame({"request_id": pdf["request_id"], "received_at": pdf["received_at"], "delivered": [e is None for e in errors], "error": errors, "payload": [None if e is None else p for e, p in zip(errors, pdf["payload"], strict=True)]})
 
-    return payloads.select("request_id", "payload").mapInPandas(run, "request_id string, delivered boolean, error string")
+    return rows.mapInPandas(run, "request_id string, received_at timestamp, delivered boolean, error string, payload binary")

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from logsluice.operators import redaction as R
 from logsluice.plans.policy import compile_policy, from_yaml
 
-PII = r"""
+PEOPLE = r"""
 redaction:
   regex_rules:
-    - {name: email, pattern: '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', mask: "[REDACTED:email]", fields: [body, "attributes.user.*"]}
-    - {name: ip, pattern: '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b', mask: "[IP$1]", fields: [body]}
+    - {name: badge, pattern: 'B-[0-9]{4}', mask: "<badge>", fields: [body, "attributes.who.*"]}
+    - {name: desk, pattern: 'desk [0-9]+(?:/[0-9]+)?', mask: "desk $1", fields: [body]}
 """
 
 
@@ -37,30 +37,39 @@ def test_overlaps_like_the_plain_rule(spark):
 
 
 def test_single_rule_and_null(spark):
-    policy = compile_policy(from_yaml(PII), spark)
-    df = spark.createDataFrame([("mail a.b@corp.io now",), (None,), ("",)], "body string")
-    got = [r[0] for r in df.select(R.redact_text(F.col("body"), policy.redaction[:1])).collect()]
-    assert got == ["mail [REDACTED:email] now", None, ""]
-    got = [r[0] for r in df.select(R.redact_text(F.col("body"), policy.redaction)).collect()]
-    assert got == ["mail [REDACTED:email] now", None, ""]
+    policy = compile_policy(from_yaml(PEOPLE), spark)
+    df = spark.createDataFrame([("lent to B-1234, back tomorrow",), (None,), ("",)], "body string")
+    for rules in (policy.redaction[:1], policy.redaction):
+        got = [r[0] for r in df.select(R.redact_text(F.col("body"), rules)).collect()]
+        assert got == ["lent to <badge>, back tomorrow", None, ""]
 
 
 def test_selected_fields_and_counts(spark):
-    policy = compile_policy(from_yaml(PII), spark)
-    attrs = [("user.email", "alice@example.com"), ("request.note", "see bob@example.com"), ("user.email", "x@y.zz 10.0.0.1"), ("user.none", None)]
-    df = spark.createDataFrame([("login ok for alice@example.com from 10.0.0.7", attrs)], "body string, attrs array<struct<key:string,value:string>>")
+    policy = compile_policy(from_yaml(PEOPLE), spark)
+    attrs = [("who.lent", "B-7001"), ("remark", "ask B-7002"), ("who.lent", "B-7003 at desk 4"), ("who.else", None)]
+    df = spark.createDataFrame([("B-7001 waits at desk 12/3", attrs)], "body string, attrs array<struct<key:string,value:string>>")
     row = R.redact(df, policy).first()
-    assert row["body"] == "login ok for [REDACTED:email] from [IP$1]"
-    assert [(a["key"], a["value"]) for a in row["attrs"]] == [("user.email", "[REDACTED:email]"), ("request.note", "see bob@example.com"), ("user.email", "[REDACTED:email] 10.0.0.1"), ("user.none", None)]
+    assert row["body"] == "<badge> waits at desk $1"
+    assert [(a["key"], a["value"]) for a in row["attrs"]] == [("who.lent", "<badge>"), ("remark", "ask B-7002"), ("who.lent", "<badge> at desk 4"), ("who.else", None)]
     assert row["n_redactions"] == 4
-    assert {r["rule"]: r["matches"] for r in R.rule_counts(df, policy).collect()} == {"email": 3, "ip": 1}
+    assert {r["rule"]: r["matches"] for r in R.rule_counts(df, policy).collect()} == {"badge": 3, "desk": 1}
+    unwanted = R.redact(df, policy, wanted=F.lit(False)).first()
+    assert unwanted["body"].startswith("B-7001") and unwanted["attrs"][0]["value"] == "B-7001" and unwanted["n_redactions"] == 4
 
 
-def test_invalid_utf8_stays_as_it_is(spark):
-    policy = compile_policy(from_yaml(PII), spark)
-    df = spark.createDataFrame([(b"\xff\xfe dave@example.com \x80\x81",), ("é dave@example.com".encode(),), (b"",), (None,)], "b binary")
+def test_bytes_that_are_not_utf8_stay(spark):
+    policy = compile_policy(from_yaml(PEOPLE), spark)
+    df = spark.createDataFrame([(b"\xc3\x28 B-0420 \xfe\xed",), ("Ünal B-0421".encode(),), (b"",), (None,)], "b binary")
     got = [None if r[0] is None else bytes(r[0]) for r in df.select(R.redact_bytes(F.col("b"), policy.redaction)).collect()]
-    assert got == [b"\xff\xfe [REDACTED:email] \x80\x81", "é [REDACTED:email]".encode(), b"", None]
+    assert got == [b"\xc3\x28 <badge> \xfe\xed", "Ünal <badge>".encode(), b"", None]
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    policy = compile_policy(from_yaml(PEOPLE), spark)
+    for n in (127, 128, 129, 256, 257, 5000):
+        text = "é ".join(f"B-{k % 10000:04d} desk {k}" for k in range(n))
+        row = spark.createDataFrame([(text,)], "body string").select(R.redacted(F.col("body"), policy.redaction).alias("x")).first()["x"]
+        assert row["n"] == 2 * n and row["new"] == "é ".join(["<badge> desk $1"] * n)
 
 
 def test_plans_stay_in_the_engine(spark, sf_small):
@@ -70,4 +79,4 @@ def test_plans_stay_in_the_engine(spark, sf_small):
         plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
     plan = QUERIES["govern_logs"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert plan.count("Exchange") <= 1  # the spreading of a small file, if any

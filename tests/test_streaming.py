@@ -1,3 +1,4 @@
+import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -11,7 +12,7 @@ from logsluice.queries import POLICY, _encoded, encode_request
 from logsluice.sources import spool
 from logsluice.sources.logs import events_as_logs, synthetic
 from logsluice.streaming import pipeline, sinks
-from logsluice.streaming.resilience import Breaker, guarded
+from logsluice.resilience import Breaker, guarded
 
 
 class Clock:
@@ -71,6 +72,18 @@ def test_spool(tmp_path, spark):
     assert again.drain_one(sent.append) == "retry"
 
 
+def test_a_delivered_payload_is_not_sent_again(tmp_path, monkeypatch):
+    s = spool.Spool(str(tmp_path), 100)
+    s.push(b"once")
+
+    def refuse(self, missing_ok=False):
+        raise PermissionError("read-only")
+
+    monkeypatch.setattr(type(tmp_path), "unlink", refuse)
+    sent = []
+    assert [s.drain_one(sent.append), s.drain_one(sent.append)] == ["sent", "empty"] and sent == [b"once"] and s.stats() == (0, 0)
+
+
 def test_drain_backs_off(tmp_path):
     s = spool.Spool(str(tmp_path), 100)
     s.push(b"x")
@@ -84,7 +97,7 @@ def test_drain_backs_off(tmp_path):
         raise ForwardError("down")
 
     s.drain(dead, wait)
-    assert waits == [1, 2, 4, 8, 16, 30, 30]
+    assert [int(w) for w in waits] == [1, 2, 4, 8, 16, 30, 30] and all(0 <= w % 1 < 0.25 for w in waits)
 
 
 def test_windows(spark):
@@ -127,32 +140,148 @@ def test_stream_equals_batch(spark, sf_small, tmp_path):
     assert total == logs.count()
 
 
-def test_window_stream(spark, sf_small, tmp_path):
-    policy = compile_policy(from_yaml(POLICY), spark)
-    sampled = accounting.samples(governance.govern(events_as_logs(spark, sf_small), policy).stats)
-    sampled.write.parquet(str(tmp_path / "in"))
+def test_window_stream_in_append_mode(spark, tmp_path):
+    rows = [(t, 1, 10) for t in (1, 2, 11, 25, 26, 61)]
+    sampled = spark.createDataFrame(rows, "t long, events_in long, bytes_in long").withColumn("received_at", F.timestamp_seconds("t"))
+    for c in accounting.COUNTERS:
+        sampled = sampled if c in sampled.columns else sampled.withColumn(c, F.lit(0).cast("long"))
+    sampled = sampled.drop("t")
+    sampled.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(sampled.schema).parquet(str(tmp_path / "in"))
-    q = pipeline.window_stream(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q = pipeline.window_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    want = accounting.window_aggregate(sampled)
-    assert spark.table("windows").exceptAll(want).count() == 0 and spark.table("windows").count() == want.count()
+    got = {r["window_start_ms"]: (r["events_in"], r["bytes_in"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (2, 20), 10_000: (1, 10), 20_000: (2, 20)}  # the last window is not past
 
 
-def test_a_failing_batch_goes_on_as_it_came(spark, sf_small):
-    logs = events_as_logs(spark, sf_small).limit(50)
-    seen = []
+def collecting(seen):
+    return lambda df, n: seen.extend(r.asDict(recursive=True) for r in df.collect())
 
-    class Broken:
-        sampling, default_target = (("x", None, 5),), 50
 
-        @property
-        def redaction(self):
+def noisy(spark, n=400):
+    return synthetic(spark, n // 10).withColumn("namespace", F.lit("web"))
+
+
+HALF = "sampling: {default_target: 30}\nredaction: {regex_rules: [{name: mail, pattern: '[a-z0-9]+@mail[.]test', mask: '<m>', fields: [body]}]}"
+
+
+def test_an_open_breaker_bypasses_redaction_alone(spark):
+    policy = compile_policy(from_yaml(HALF), spark)
+    clock = Clock()
+    breaker = Breaker(faults=1, clock=clock)
+    breaker.fault()
+    assert not breaker.allows()
+    logs, seen, lines = noisy(spark), [], []
+    pipeline.governed_batches(lambda: policy, collecting(seen), sinks.JsonSink(lines.append), breaker)(logs, 0)
+    want = governance.govern_rows(logs, policy).count()
+    assert 0 < len(seen) == want < 400 and any("@mail.test" in r["body"] for r in seen)
+    totals = [json.loads(x) for x in lines]
+    assert sum(t["events_exported"] for t in totals) == want and sum(t["events_sampled_out"] for t in totals) == 400 - want
+    assert sum(t["redaction_count"] for t in totals) == 0 and sum(t["failopen_count"] for t in totals) == 40
+
+
+class BrokenRules:
+    def __init__(self, policy):
+        self.policy = policy
+
+    def __getattr__(self, name):
+        if name == "redaction":
             raise RuntimeError("broken rules")
+        return getattr(self.policy, name)
+
 
-    run = pipeline.governed_batches(lambda: Broken(), lambda df, n: seen.append(df.count()), None, Breaker(faults=2))
+def test_failing_redaction_samples_and_trips(spark):
+    policy = compile_policy(from_yaml(HALF), spark)
+    logs, seen, breaker = noisy(spark), [], Breaker(faults=2, clock=Clock())
+    run = pipeline.governed_batches(lambda: BrokenRules(policy), collecting(seen), None, breaker)
+    want = governance.govern_rows(logs, policy).count()
     for k in range(3):
+        assert breaker.allows() == (k < 2)
         run(logs, k)
-    assert seen == [50, 50, 50]
+    assert len(seen) == 3 * want and any("@mail.test" in r["body"] for r in seen)
+
+
+def test_an_error_of_the_sink_releases_nothing(spark):
+    policy = compile_policy(from_yaml(HALF), spark)
+    seen, breaker = [], Breaker(faults=1, clock=Clock())
+
+    def full(df, n):
+        seen.extend(r["body"] for r in df.collect())
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        pipeline.governed_batches(lambda: policy, full, None, breaker)(noisy(spark), 0)
+    assert breaker.allows() and seen and not any("@mail.test" in b for b in seen)
+
+
+def test_failing_sampling_keeps_all(spark):
+    class Broken:
+        default_target, redaction = 50, ()
+
+        @property
+        def sampling(self):
+            raise RuntimeError("broken policy")
+
+    seen = []
+    pipeline.governed_batches(lambda: Broken(), collecting(seen), None, Breaker(faults=2))(noisy(spark, 50), 0)
+    assert len(seen) == 50
+
+
+def test_payloads_behind_the_breaker(spark, monkeypatch):
+    policy = compile_policy(from_yaml(HALF), spark)
+    raw = encode_request([_encoded(f"mail a{k}@mail.test", bytes([k]) * 16, 9, [], False) for k in range(100)], "web", "s")
+    df = spark.createDataFrame([("1", raw)], "request_id string, raw binary").withColumn("received_at", F.timestamp_seconds(F.lit(5)))
+    lines, clock = [], Clock()
+    breaker = Breaker(faults=1, clock=clock)
+    run = pipeline.payload_batches(lambda: policy, None, None, sinks.JsonSink(lines.append), breaker=breaker)
+    run(df, 0)
+    real = pipeline.govern_payloads
+
+    def broken(requests, policy, redact=True):
+        if redact:
+            raise RuntimeError("broken rules")
+        return real(requests, policy, redact)
+
+    monkeypatch.setattr(pipeline, "govern_payloads", broken)
+    run(df, 1)
+    assert not breaker.allows()
+    monkeypatch.setattr(pipeline, "govern_payloads", real)
+    run(df, 2)
+    a, b, c = map(json.loads, lines)
+    assert a["events_sampled_out"] == b["events_sampled_out"] == c["events_sampled_out"] > 0
+    assert a["redaction_count"] == 100 and b["redaction_count"] == c["redaction_count"] == 0 and [x["failopen_count"] for x in (a, b, c)] == [0, 1, 1]
+
+
+def test_windows_leave_in_sequence_and_at_the_end():
+    got = []
+
+    class Sink:
+        def deliver(self, aggregate):
+            got.append(aggregate)
+
+    flusher = pipeline.WindowFlusher(Sink(), 7)
+    one = lambda start, n: {"window_start_ms": start, "window_end_ms": start + 10_000, **dict.fromkeys(accounting.COUNTERS, n)}
+    for start, n in ((20_000, 1), (20_000, 2), (50_000, 4), (20_000, 8)):
+        flusher.deliver(one(start, n))
+    assert [(x["seq"], x["window_start_ms"], x["events_in"]) for x in got] == [(0, 20_000, 3), (1, 30_000, 0), (2, 40_000, 0)]
+    flusher.flush(), flusher.flush()
+    assert [(x["seq"], x["window_start_ms"], x["events_in"], x["policy_version"]) for x in got[3:]] == [(3, 50_000, 12, 7)]
+
+
+def test_orderly_end(spark, tmp_path):
+    from logsluice.sources import receiver
+
+    landing = receiver.Landing(str(tmp_path / "in"))
+    server = receiver.serve(landing, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    policy = compile_policy(from_yaml(HALF), spark)
+    lines = []
+    flusher = pipeline.WindowFlusher(sinks.JsonSink(lines.append), policy.fingerprint)
+    landing.put(encode_request([_encoded("b", b"\x05" * 16, 9, [], False)], "web", "s"))
+    q = pipeline.start(pipeline.read_payload_files(spark, str(tmp_path / "in")), pipeline.payload_batches(lambda: policy, None, None, flusher), str(tmp_path / "cp"), "1 seconds")
+    landing.put(encode_request([_encoded("c", b"\x06" * 16, 9, [], False)], "web", "s"))
+    pipeline.drain(q, servers=(server,), flushers=(flusher,))
+    assert not q.isActive and sum(json.loads(x)["events_in"] for x in lines) == 2
 
 
 @pytest.fixture
@@ -209,5 +338,5 @@ def test_replay_of_a_spool(spark, tmp_path):
 
 def test_synthetic(spark):
     df = synthetic(spark, 20)
-    assert df.count() == 200 and df.where("body LIKE '%@corp.io%'").count() == 80
+    assert df.count() == 200 and df.where("body LIKE '%@mail.test%'").count() == 60
     assert df.select("trace_id").distinct().count() == 200
