@@ -363,26 +363,28 @@ def test_flight_keeps_both_totals():
 # --- 9: embeddings
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("part", [40, 10_000])
+def test_embeddings_against_brute_force(spark, part):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((40, 24))
     rows = []
     for k in range(300):
         v = base[k % 40] + rng.standard_normal(24) * rng.choice([0.0, 0.1, 0.25, 0.5])
         rows.append((int(rng.integers(0, 10**6)), (v * rng.uniform(0.1, 9)).tolist()))
+    rows += [(3_000_000 + k, (base[k] * scale).tolist()) for k in range(3) for scale in (1e200, 1e-200, 5e-310)]
     rows += [(2_000_000 + k, rows[0][1]) for k in range(5)] + [(7, None), (8, []), (9, [0.0] * 24), (10, [None, *[1.0] * 23]), (11, [float("nan")] * 24), (12, [float("inf")] * 24), (13, [1.0, 2.0]), (14, [2.0, 4.0]), (None, rows[1][1])]
     df = H.with_clashes(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
-    old, embedding_dedup.CELL = embedding_dedup.CELL, 64
+    old, embedding_dedup.PART = embedding_dedup.PART, part
     try:
-        got = embedding_dedup.near_duplicates(df).collect()
+        got = embedding_dedup.near_duplicates(df, block_dims=8).collect()
     finally:
-        embedding_dedup.CELL = old
+        embedding_dedup.PART = old
     links, count = [], [0] * len(rows)
     sound = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
     for a in range(len(rows)):
         for b in range(a):
             if sound[a] and sound[b] and len(rows[a][1]) == len(rows[b][1]):
-                x, y = np.array(rows[a][1]), np.array(rows[b][1])
+                x, y = (np.array(rows[k][1]) / np.abs(rows[k][1]).max() for k in (a, b))
                 if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
                     links.append((a, b))
                     count[a] += 1
