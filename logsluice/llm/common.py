@@ -65,11 +65,13 @@ def words_of(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder which driver and executors share; a temporary one is made only where the session names none."""
+    """The folder which driver and executors share. Where the session names none a temporary one is made, in local mode alone: on a cluster it would not be shared."""
     jsc = spark.sparkContext._jsc.sc()
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     if jsc.getCheckpointDir().isEmpty():
+        if not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -84,11 +86,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that operators of this process have written so far; call it once their results are stored. How many."""
-    n = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def mark() -> int:
+    """How many tables this process has written: for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Deletes tables that operators of this process have written since a mark, but for the last ones; call it once their results are stored. How many."""
+    n, end = 0, len(_written) - but_last
+    paths, _written[since:end] = _written[since:end], []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
@@ -189,26 +197,44 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def sampled_rows(rows: DataFrame, by: str, most: int, id_col: str, seed: int = 3) -> DataFrame:
-    """About `most` rows for each value of `by`, or all where there are fewer, chosen by a hash of the id: a training sample."""
-    n = rows.groupBy(F.col(by).alias("by_")).agg(F.count("*").alias("n_"))
+def sampled_rows(rows: DataFrame, by: str, most: int, groups: int, seed: int = 3) -> DataFrame:
+    """A training sample: about `most` rows for each value of `by`, all where there are fewer, of the `groups` most frequent values. With `order_`, a hash to sort by.
+
+    Rows are chosen one by one, by a hash of their place in the input, so rows that share an id, or all they have, are not chosen together.
+    """
+    placed = rows.withColumn("order_", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    n = rows.groupBy(F.col(by).alias("by_")).agg(F.count("*").alias("n_")).orderBy(F.desc("n_"), "by_").limit(groups)
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("n_"))
-    chosen = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30)
-    return rows.join(F.broadcast(n.orderBy(F.desc("n_"), "by_").limit(1000)), F.col(by) == F.col("by_")).where(chosen).drop("by_", "n_")
+    chosen = F.pmod("order_", F.lit(1 << 30)) < share * (1 << 30)
+    return placed.join(F.broadcast(n), F.col(by) == F.col("by_")).where(chosen).drop("by_", "n_")
+
+
+def window_of(text: Column, order: Column, most: int) -> Column:
+    """The text, or of a longer one `most` characters from a place that the hash tells."""
+    beyond = F.greatest(F.length(text) - most, F.lit(0))
+    return F.substring(text, F.pmod(F.shiftright(order, 32), F.greatest(beyond + 1, F.lit(1)).cast("long")).cast("int") + 1, F.lit(most))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, longest: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
-    """Texts of at most `longest` characters with a label 0 or 1, about `rows` of each; their labels.
+    """Texts with a label 0 or 1, about `rows` of each, and their labels; of a text longer than that, a window of `longest` characters.
 
-    The labels are sampled first, so that it is these few ids that are broadcast, and texts are read but not shuffled.
+    The labels are sampled first, so that it is these few ids that are broadcast, and texts are read but not shuffled. Of texts that share
+    an id about as many are taken as it has labels.
     """
     chosen = columns(labels, of_=(id_col, "long"), y_=(label_col, "int")).where("y_ IN (0, 1) AND of_ IS NOT NULL")
-    chosen = sampled_rows(chosen, "y_", rows, "of_").orderBy(F.xxhash64(F.lit(5), "of_"), "y_").limit(rows * 3)
-    texts = columns(docs, id_=(id_col, "long"), text_=(text_col, "string")).where(F.length("text_") <= longest)
-    got = texts.join(F.broadcast(chosen), F.col("id_") == F.col("of_")).select("id_", "text_", "y_").orderBy(F.xxhash64(F.lit(5), "id_"), "text_", "y_").limit(rows * 4).collect()
+    chosen = sampled_rows(chosen, "y_", rows, 2).groupBy("of_", "y_").agg(F.count("*").alias("n_"))
+    texts = columns(docs, id_=(id_col, "long"), text_=(text_col, "string")).withColumn("row_", F.xxhash64(F.lit(5), "id_", F.monotonically_increasing_id()))
+    got = texts.join(F.broadcast(chosen), F.col("id_") == F.col("of_")).withColumn("text_", window_of(F.col("text_"), F.col("row_"), longest))
+    got = got.select("text_", "y_", "row_").orderBy("row_", "text_", "y_").limit(rows * 4).collect()
     return [r["text_"] for r in got], np.array([r["y_"] for r in got], dtype=np.int64)
 
 
+def buckets_for(df: DataFrame, text_col: str, most: int, times: int = 1) -> int:
+    """Buckets of about `most` bytes of text, and at least so many for each shuffle partition: what a task holds at a time doesn't grow with the input."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(times * partitions_for(df), -(-size // most))
+
+
 def in_slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `most` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -5,16 +5,20 @@ longest match that occurs in the language's text; the fewer phrases, each costin
 language. The language with the fewest bits wins, the score is its share of the likelihood 2 ** -bits.
 
 The automata are completed into tables: where no transition exists, the parse starts a phrase anew at the root, and the
-entry says so. Texts are cut into segments, parsed from the root each, so that thousands of segments advance together, one
-character of each at a time; all languages pay the same for the cuts. Letters are lower-cased, all between words is one space. Each letter
-of the training text is a symbol. A language of up to LETTERS letters has a full table; one of more, as those written in Chinese, has
-its transitions as sorted keys, which costs a binary search a letter. Letters that no language has seen are one symbol.
+entry says so. Texts are cut into segments, so that thousands advance together, one character of each at a time. A segment is first
+parsed from the root; then from the state in which the segment before it ends, until both parses are in one state: from there
+they are the same, so the phrases counted are those of one parse of the whole text. Letters are lower-cased, all between words is one space.
+Each letter of the training text is a symbol; a language's automaton has those that it uses. Up to DENSE bytes for all languages
+together they are full tables; beyond that all are sorted keys, which cost a binary search a letter. Letters that no language has seen are one symbol.
 
-Training takes a bounded sample: about `rows` labelled texts for each language, `chars` characters of them. That text is
-broadcast (chars times the number of languages), each Python worker builds the automata from it once.
+Training takes a bounded sample: of the `languages` most frequent languages about `rows_per_language` labelled texts each, of a
+longer text a window of `window` characters, `chars` characters in all. That text is broadcast (chars times the number of
+languages), each Python worker builds the automata from it once.
 
 Cases: null text, or text without a letter, is `und` with score 0; so is everything where nothing is labelled; a tie goes
-to the language that sorts first; a text in letters no language has seen gets the tied languages' first, with an equal share as score; long texts are read whole.
+to the language that sorts first; a text in letters no language has seen gets the tied languages' first, with an equal share as score; long
+texts are read whole; a null doc_id is a document like others; repeated rows get the same result each; other columns, whatever
+their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns, frugal, in_slices, sampled_rows
+from logsluice.llm.common import columns, frugal, in_slices, sampled_rows, window_of
 
 UNKNOWN = "und"
-#: Up to so many letters a language's transitions are a full table; its symbols are the gap (0), any other letter (1) and these.
-LETTERS = 62
+#: Bytes that full tables of all languages may take.
+DENSE = 1 << 28
 SEGMENT = 512
 #: Segments that advance together: their states fit a fast cache.
 LANES = 8192
@@ -105,8 +109,8 @@ class Table:
         table[to < 0] |= np.int32(-(1 << 31))
         self.next, self.start = table.ravel(), (len(to) - 1) * symbols
 
-    def begun(self, block: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Phrases that begin in each lane. block: symbols by place and lane; live: by place, how many lanes have it."""
+    def begun(self, block: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each lane, and its last state. block: symbols by place and lane; live: by place, how many lanes have it."""
         lanes = block.shape[1]
         state, begun, v = np.full(lanes, self.start, dtype=np.int32), np.zeros(lanes, dtype=np.int32), np.empty(lanes, dtype=np.int32)
         for t, m in enumerate(live):
@@ -116,7 +120,12 @@ class Table:
             np.bitwise_and(w, 0x7FFFFFFF, out=s)
             np.right_shift(w, 31, out=w)
             np.subtract(begun[:m], w, out=begun[:m])
-        return begun
+        return begun, state
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where a phrase begins."""
+        v = self.next[state + symbol]
+        return v & 0x7FFFFFFF, v < 0
 
 
 class Sparse:
@@ -132,16 +141,18 @@ class Sparse:
         self.anew = np.full(symbols, self.start, dtype=np.int64)
         self.anew[list(step[0])] = np.array(list(step[0].values()), dtype=np.int64) * symbols
 
-    def begun(self, block: np.ndarray, live: np.ndarray) -> np.ndarray:
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        want = state + symbol
+        at = np.searchsorted(self.key, want)
+        found = self.key[at] == want
+        return np.where(found, self.next[at], self.anew[symbol]), ~found
+
+    def begun(self, block: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         state, begun = np.full(block.shape[1], self.start, dtype=np.int64), np.zeros(block.shape[1], dtype=np.int32)
         for t, m in enumerate(live):
-            c = block[t, :m]
-            want = state[:m] + c
-            at = np.searchsorted(self.key, want)
-            found = self.key[at] == want
-            state[:m] = np.where(found, self.next[at], self.anew[c])
-            begun[:m] += ~found
-        return begun
+            state[:m], new = self.step(state[:m], block[t, :m])
+            begun[:m] += new
+        return begun, state
 
 
 @dataclass
@@ -149,8 +160,8 @@ class Automata:
     languages: list[str]
     #: Symbol by code point: the gap 0, any letter that no language has seen 1.
     symbol: np.ndarray
-    #: For each language its own symbol by that symbol (None: the same), and its transitions.
-    own: list[np.ndarray | None]
+    #: For each language its own symbol by that symbol, and its transitions.
+    own: list[np.ndarray]
     tables: list[Table | Sparse]
     bits: list[float]
 
@@ -162,20 +173,17 @@ class Automata:
         symbol = letter.astype(np.int32)
         symbol[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
         symbols = 2 + len(known)
-        own, tables, bits = [], [], []
+        own, steps, bits = [], [], []
         for lang in languages:
             seq = _gaps_closed(symbol[code_points([texts[lang]])[0]])
-            mine, n = None, symbols
-            if len(known) > LETTERS:
-                used = np.unique(seq[seq > 1])
-                mine, n = np.minimum(np.arange(symbols, dtype=np.int32), 1), 2 + len(used)
-                mine[used] = np.arange(2, n)
-                seq = mine[seq]
-            step = suffix_automaton(seq.tolist())
+            used = np.unique(seq[seq > 1])
+            mine = np.minimum(np.arange(symbols, dtype=np.int32), 1)
+            mine[used] = np.arange(2, 2 + len(used))
+            steps.append((suffix_automaton(mine[seq].tolist()), 2 + len(used)))
             own.append(mine)
-            tables.append(Table(step, n) if n <= 2 + LETTERS else Sparse(step, n))
             bits.append(math.log2(max(2, len(seq))))
-        return cls(languages, symbol, own, tables, bits)
+        kind = Table if sum(4 * (len(step) + 1) * n for step, n in steps) <= DENSE else Sparse
+        return cls(languages, symbol, own, [kind(step, n) for step, n in steps], bits)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text (texts x languages), symbols of each text, whether it has a letter."""
@@ -193,6 +201,7 @@ class Automata:
         length = np.minimum(SEGMENT, n[owner] - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
         out = np.zeros((len(texts), len(self.languages)))
+        ends = [np.zeros(len(order), dtype=np.int64) for _ in self.languages]
         for a in range(0, len(order), LANES):
             lanes = order[a : a + LANES]
             size = length[lanes]
@@ -201,8 +210,23 @@ class Automata:
             block = seq[at]
             live = np.searchsorted(-size, -np.arange(longest), side="left")
             for k, (mine, table) in enumerate(zip(self.own, self.tables, strict=True)):
-                begun = table.begun(block if mine is None else mine[block], live)
+                begun, ends[k][lanes] = table.begun(mine[block], live)
                 out[:, k] += np.bincount(owner[lanes], weights=begun, minlength=len(texts))
+        later = np.flatnonzero(nth > 0)
+        for k, (mine, table) in enumerate(zip(self.own, self.tables, strict=True)):
+            again = later
+            before = np.full(len(order), -1, dtype=np.int64)  # the state that a segment has been continued from
+            counted = np.zeros(len(order), dtype=np.int64)
+            while len(again):
+                before[again] = ends[k][again - 1]
+                more, end = _continued(table, mine, seq, start[again], length[again], before[again])
+                counted[again] = more
+                ends[k][again[end >= 0]] = end[end >= 0]
+                # Where a segment's own end has changed, the one behind it goes on from there.
+                again = again[end >= 0] + 1
+                again = again[(again < len(nth)) & (nth[np.minimum(again, len(nth) - 1)] > 0)]
+                again = again[ends[k][again - 1] != before[again]]
+            out[:, k] += np.bincount(owner, weights=counted, minlength=len(texts))
         return out, n, has_letter
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -215,19 +239,39 @@ class Automata:
         return lang, np.where(has_letter, share, 0.0), np.where(has_letter, bits[np.arange(len(n)), best] / np.maximum(n, 1), 0.0)
 
 
+def _continued(table: Table | Sparse, mine: np.ndarray, seq: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For segments parsed from these states rather than the root: how many more phrases begin in them, and the last state where it is another one (else -1)."""
+    more, end = np.zeros(len(start), dtype=np.int64), np.full(len(start), -1, dtype=np.int64)
+    live, root, t = np.arange(len(start)), np.full(len(start), table.start, dtype=np.int64), 0
+    state = state.astype(np.int64)
+    while len(live):
+        symbol = mine[seq[start[live] + t]]
+        root, new_root = table.step(root, symbol)
+        state, new = table.step(state, symbol)
+        more[live] += new.astype(np.int64) - new_root
+        t += 1
+        over = length[live] == t
+        apart = root != state
+        end[live[over & apart]] = state[over & apart]
+        go = apart & ~over
+        live, root, state = live[go], root[go], state[go]
+    return more, end
+
+
 def _gaps_closed(seq: np.ndarray) -> np.ndarray:
     return seq[(seq != 0) | np.diff(seq, prepend=0).astype(bool)]
 
 
-def training_texts(rows: DataFrame, *, rows_per_language: int = 300, chars: int = 50_000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Per language up to `chars` characters of labelled texts of at most `longest` characters each, in the order of a hash of the id."""
-    df = columns(rows, id_=(id_col, "long"), text_=(text_col, "string"), lang_=(lang_col, "string")).where("text_ IS NOT NULL AND lang_ IS NOT NULL")
-    df = sampled_rows(df, "lang_", rows_per_language, "id_").where(F.length("text_") <= longest)
-    out: dict[str, str] = {}
-    for r in df.select("lang_", "text_").orderBy(F.xxhash64(F.lit(5), "id_"), "text_").limit(rows_per_language * 1000).collect():
-        if len(out.get(r["lang_"], "")) < chars:
-            out[r["lang_"]] = (out.get(r["lang_"], "") + "\n" + r["text_"])[: chars + longest]
-    return {k: v[: chars + 1] for k, v in out.items()}
+def training_texts(rows: DataFrame, *, languages: int = 1000, rows_per_language: int = 300, chars: int = 50_000, window: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+    """Per language up to `chars` characters of labelled texts, a line each, in the order of a hash: a row for each language reaches the driver.
+
+    Of a text longer than `window` characters a window of that size is taken. At most `languages` languages, the most frequent ones, are learnt.
+    """
+    df = columns(rows, text_=(text_col, "string"), lang_=(lang_col, "string")).where("text_ IS NOT NULL AND lang_ IS NOT NULL")
+    df = sampled_rows(df, "lang_", rows_per_language, languages).select("lang_", F.struct("order_", window_of(F.col("text_"), F.col("order_"), window).alias("t")).alias("x"))
+    # About rows_per_language windows a group: bounded whatever the language's share.
+    joined = F.substring(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n"), 1, chars)
+    return {r["lang_"]: r["t"] for r in df.groupBy("lang_").agg(joined.alias("t")).collect()}
 
 
 def identify(docs: DataFrame, texts: dict[str, str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ length need no padding and no sequence crosses documents. The work is one pass w
 out per task, and buckets are a column by which a writer can partition.
 
 Cases: null or empty text has the end id alone; null doc_id and repeated rows are packed as they come; an empty table
-gives no rows; text that holds a special token's string is tokenised as the tokenizer itself would.
+gives no rows; very long texts are tokenised whole; texts of one length share a bucket, not a sequence; other columns, whatever their
+names, are not looked at; text that holds a special token's string is tokenised as the tokenizer itself would.
 """
 
 from __future__ import annotations

@@ -1,15 +1,17 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text is its bytes, cut into overlapping chunks that cover all of it. A byte is a learned vector, with one more input:
-whether the four bytes that end here also ended a few bytes before (repetition, which filters over a few bytes can't see). Learned
-filters slide over each chunk; their largest responses are the chunk's features. A document has the largest and the mean
-features of its chunks, whatever their number, and a small dense layer combines these into one probability.
+A text is its bytes, cut into overlapping chunks that cover all of it. A byte is a learned vector. Learned filters slide over each
+chunk; their largest responses are the chunk's features, the largest over all chunks are the document's, and a small dense
+layer combines these into one probability.
 
-Training takes a bounded sample of labelled rows (`rows` for each label) and, of each document, a few chunks an epoch. It
-runs on the driver in seconds, whatever the input; scoring is one pass without a shuffle. Weights are some thousand numbers.
+Training takes a bounded sample of labelled rows (`rows` for each label, of longer texts a window of `longest` characters) and, of
+each document, a few chunks an epoch. It runs on the driver in seconds, whatever the input; scoring is one pass without a
+shuffle. Weights are some thousand numbers.
 
 Cases: null or empty text is scored as one chunk of zero bytes; without labels of both kinds every score is the share of the label
-seen, or 0.5; very long texts are scored whole, some chunks at a time; equal texts get equal scores, in any batch.
+seen, or 0.5; very long texts are scored whole, some chunks at a time; equal texts get equal scores, in any batch, so repeated rows
+do; a null doc_id is scored like others and never learnt from; other columns, whatever their names, are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +26,8 @@ from logsluice.llm.common import columns, frugal, in_slices, joined, labelled_te
 from logsluice.llm.nn import Adam, Params, normal, sigmoid
 
 CHUNK, HOP = 256, 192
-WIDTH, STRIDE = 8, 4
-BYTE_DIMS, FILTERS, HIDDEN = 7, 24, 16
-#: Distances at which a repetition of four bytes is seen.
-LAGS = range(2, 25)
+WIDTH, STRIDE = 16, 4
+BYTE_DIMS, FILTERS, HIDDEN = 6, 32, 16
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -38,44 +38,26 @@ def chunk_starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * HOP
 
 
-def repeats(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """By byte, whether the four bytes that end there ended at a distance in LAGS before, in the same text."""
-    out = np.zeros(len(data), dtype=bool)
-    if len(data) > 4:
-        gram = data[3:].astype(np.uint32)
-        for k in (1, 2, 3):
-            gram |= data[3 - k : -k].astype(np.uint32) << np.uint32(8 * k)
-        for lag in LAGS:
-            out[3 + lag :] |= gram[lag:] == gram[:-lag]
-    first = (starts[:, None] + np.arange(3 + LAGS[-1])).ravel()
-    out[first[first < len(data)]] = False
-    return out
-
-
-def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text of each chunk, its bytes, its repeats) for some chunks at a time; bytes past a text's end are 0."""
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each chunk, its bytes) for some chunks at a time; bytes past a text's end are 0."""
     data, ends = joined(texts)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     sizes = ends - starts - 1
-    again = repeats(data, starts)
     of, at = chunk_starts(sizes)
     for a in range(0, len(of), 8192):
         o, s = of[a : a + 8192], at[a : a + 8192]
         place = s[:, None] + np.arange(CHUNK)
         inside = place < sizes[o][:, None]
         place = np.minimum(place + starts[o][:, None], len(data) - 1)
-        yield o, np.where(inside, data[place], 0).astype(np.uint8), (again[place] & inside).astype(np.float32)
+        yield o, np.where(inside, data[place], 0).astype(np.uint8)
 
 
-def responses(p: Params, data: np.ndarray, again: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+def responses(p: Params, data: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
     """Largest response of each filter in each chunk, after a ramp."""
-    x = np.empty((*data.shape, BYTE_DIMS + 1), dtype=np.float32)
-    x[..., :BYTE_DIMS] = p["bytes"][data]
-    x[..., BYTE_DIMS] = again
-    row = x.reshape(len(x), -1)
-    windows = np.lib.stride_tricks.sliding_window_view(row, WIDTH * (BYTE_DIMS + 1), axis=1)[:, :: STRIDE * (BYTE_DIMS + 1)]
-    flat = np.ascontiguousarray(windows).reshape(-1, WIDTH * (BYTE_DIMS + 1))
-    z = (flat @ p["filters"]).reshape(len(x), PLACES, FILTERS)
+    row = p["bytes"][data].reshape(len(data), -1)
+    windows = np.lib.stride_tricks.sliding_window_view(row, WIDTH * BYTE_DIMS, axis=1)[:, :: STRIDE * BYTE_DIMS]
+    flat = np.ascontiguousarray(windows).reshape(-1, WIDTH * BYTE_DIMS)
+    z = (flat @ p["filters"]).reshape(len(data), PLACES, FILTERS)
     if not keep:
         return np.maximum(z.max(axis=1) + p["bias"], 0), ()
     best = z.argmax(axis=1)
@@ -83,22 +65,21 @@ def responses(p: Params, data: np.ndarray, again: np.ndarray, keep: bool = False
     return np.maximum(top, 0), (flat, best, top)
 
 
-def combined(p: Params, most: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    both = np.concatenate([most, mean], axis=1)
-    hidden = np.tanh(both @ p["dense"] + p["dense_bias"])
-    return sigmoid(hidden @ p["out"] + p["out_bias"])[:, 0], hidden, both
+def combined(p: Params, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hidden = np.tanh(most @ p["dense"] + p["dense_bias"])
+    return sigmoid(hidden @ p["out"] + p["out_bias"])[:, 0], hidden
 
 
 def fit(texts: list[str], labels: np.ndarray, *, steps: int = 400, batch: int = 64, pieces: int = 6, seed: int = 1) -> Params:
     rng = np.random.default_rng(seed)
     p: Params = {
-        "bytes": normal(rng, 256, BYTE_DIMS, scale=0.5), "filters": normal(rng, WIDTH * (BYTE_DIMS + 1), FILTERS), "bias": np.zeros(FILTERS, np.float32),
-        "dense": normal(rng, 2 * FILTERS, HIDDEN), "dense_bias": np.zeros(HIDDEN, np.float32), "out": normal(rng, HIDDEN, 1), "out_bias": np.zeros(1, np.float32),
+        "bytes": normal(rng, 256, BYTE_DIMS, scale=0.5), "filters": normal(rng, WIDTH * BYTE_DIMS, FILTERS), "bias": np.zeros(FILTERS, np.float32),
+        "dense": normal(rng, FILTERS, HIDDEN), "dense_bias": np.zeros(HIDDEN, np.float32), "out": normal(rng, HIDDEN, 1), "out_bias": np.zeros(1, np.float32),
     }
-    data, again, of = [], [], []
-    for o, d, r in chunks(pa.array(texts, pa.string())):
-        of.append(o), data.append(d), again.append(r.astype(bool))
-    of, data, again = np.concatenate(of), np.concatenate(data), np.concatenate(again)
+    data, of = [], []
+    for o, d in chunks(pa.array(texts, pa.string())):
+        of.append(o), data.append(d)
+    of, data = np.concatenate(of), np.concatenate(data)
     first = np.searchsorted(of, np.arange(len(texts) + 1))
     y = labels.astype(np.float32)
     # Both labels weigh the same in part, so that a rare one is learnt, and scores stay near frequencies.
@@ -114,25 +95,23 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 400, batch: int =
             pick = [first[d] + (np.arange(n) if (n := first[d + 1] - first[d]) <= pieces else rng.choice(n, pieces, replace=False)) for d in docs]
             counts = np.array([len(x) for x in pick])
             rows = np.concatenate(pick)
-            feature, (flat, best, top) = responses(p, data[rows], again[rows].astype(np.float32), keep=True)
-            edge = np.cumsum(counts) - counts
-            most, mean = np.maximum.reduceat(feature, edge, axis=0), np.add.reduceat(feature, edge, axis=0) / counts[:, None]
-            score, hidden, both = combined(p, most, mean)
+            feature, (flat, best, top) = responses(p, data[rows], keep=True)
+            most = np.maximum.reduceat(feature, np.cumsum(counts) - counts, axis=0)
+            score, hidden = combined(p, most)
             g: Params = {}
             d_out = ((score - y[docs]) * weight[docs] / len(docs))[:, None]
             g["out"], g["out_bias"] = hidden.T @ d_out, d_out.sum(axis=0)
             d_hidden = (d_out @ p["out"].T) * (1 - hidden * hidden)
-            g["dense"], g["dense_bias"] = both.T @ d_hidden, d_hidden.sum(axis=0)
-            d_both = d_hidden @ p["dense"].T
+            g["dense"], g["dense_bias"] = most.T @ d_hidden, d_hidden.sum(axis=0)
             owner = np.repeat(np.arange(len(docs)), counts)
-            d_feature = (d_both[:, FILTERS:] / counts[:, None])[owner] + d_both[owner, :FILTERS] * (feature == most[owner])
+            d_feature = (d_hidden @ p["dense"].T)[owner] * (feature == most[owner])
             d_top = d_feature * (top > 0)
             g["bias"] = d_top.sum(axis=0)
             # The gradient reaches a filter through the one place where it responded most.
             place = best + np.arange(len(rows))[:, None] * PLACES
             g["filters"] = np.stack([flat[place[:, f]].T @ d_top[:, f] for f in range(FILTERS)], axis=1)
             back = d_top[:, :, None] * p["filters"].T[None]
-            back = back.reshape(len(rows), FILTERS, WIDTH, BYTE_DIMS + 1)[..., :BYTE_DIMS]
+            back = back.reshape(len(rows), FILTERS, WIDTH, BYTE_DIMS)
             seen = data[rows][np.arange(len(rows))[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)]
             g["bytes"] = np.zeros_like(p["bytes"])
             np.add.at(g["bytes"], seen.ravel(), back.reshape(-1, BYTE_DIMS))
@@ -142,22 +121,17 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 400, batch: int =
 
 def scores(p: Params, texts: pa.Array) -> np.ndarray:
     most = np.zeros((len(texts), FILTERS), dtype=np.float32)
-    total = np.zeros((len(texts), FILTERS), dtype=np.float64)
-    count = np.zeros(len(texts))
-    for of, data, again in chunks(texts):
+    for of, data in chunks(texts):
         for a in range(0, len(of), 512):  # so many that the windows stay in the cache
-            feature, _ = responses(p, data[a : a + 512], again[a : a + 512])
+            feature, _ = responses(p, data[a : a + 512])
             o = of[a : a + 512]
             edge = np.flatnonzero(np.diff(o, prepend=-1))
-            docs = o[edge]
-            most[docs] = np.maximum(most[docs], np.maximum.reduceat(feature, edge, axis=0))
-            total[docs] += np.add.reduceat(feature.astype(np.float64), edge, axis=0)
-            count[docs] += np.diff(edge, append=len(o))
-    return combined(p, most, (total / np.maximum(count, 1)[:, None]).astype(np.float32))[0].astype(np.float64)
+            most[o[edge]] = np.maximum(most[o[edge]], np.maximum.reduceat(feature, edge, axis=0))
+    return combined(p, most)[0].astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = 1500, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> Params | float:
-    """Weights from about `rows` texts of each label of at most `longest` characters; a number where one label is missing."""
+    """Weights from about `rows` texts of each label, of longer texts a window of `longest` characters; a number where one label is missing."""
     texts, y = labelled_texts(docs, labels, label_col, rows, longest, id_col, text_col)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5

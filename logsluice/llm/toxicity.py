@@ -10,11 +10,12 @@ Labels are of documents, so training has to find the windows: first those of tox
 telling of the label, then, after some epochs, those that the network itself scores highest. Windows of clean documents
 are all negative: some at random, and those that the network likes most.
 
-Training takes a bounded sample of labelled rows (`rows` for each label) on the driver. Scoring is one pass without a shuffle;
+Training takes a bounded sample of labelled rows on the driver: `rows` for each label, of longer texts `longest` characters. Scoring is one pass without a shuffle;
 the input side of the gates is computed once for each different word of a batch.
 
 Cases: null text, or text without a word, is scored as one empty window (0 words, score from the bias alone); without labels of both
-kinds every score is the share of the label seen, or 0; very long texts are scored whole; equal texts get equal scores.
+kinds every score is the share of the label seen, or 0; very long texts are scored whole; equal texts get equal scores, so repeated rows do;
+a null doc_id is scored like others and never learnt from; other columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -272,7 +273,7 @@ def _part(w: Words, used: np.ndarray) -> Words:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = 2000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> tuple[Params, np.ndarray] | float:
-    """The network from about `rows` texts of each label of at most `longest` characters; a number where one label is missing."""
+    """The network from about `rows` texts of each label, of longer texts a window of `longest` characters; a number where one label is missing."""
     texts, y = labelled_texts(docs, labels, label_col, rows, longest, id_col, text_col)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.0
