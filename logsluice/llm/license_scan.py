@@ -1,6 +1,6 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences (at . ! ? before white space, but not in "v. 2.0", and at blank lines); a sentence of several lines that is
+A text is cut into sentences (at . ! ? before white space, but not in "v. 2.0", and at blank lines, commented ones too); a sentence of several lines that is
 not known as a whole counts by its lines. Sentences are normalised: lower case, letters and digits alone, one space between. Those in SENTENCES become
 their identifiers. The identifiers of a document, in order, are matched against RULES, the more specific first; a rule
 that matches takes its identifiers away, so that a shorter rule does not count them again. What is left over shows as unmatched.
@@ -8,7 +8,8 @@ that matches takes its identifiers away, so that a shorter rule does not count t
 All within the row, by built-in functions: no shuffle and no Python on the executors. Texts without any word that
 all known sentences need are not cut at all.
 
-Cases: null or empty text has no sentence and no licence; equal rows get equal results; an empty table gives no rows; a
+Cases: null or empty text has no sentence and no licence; a null doc_id is a document like others; very long texts are read whole,
+within their row; other columns, whatever their names, are not looked at; equal rows get equal results; an empty table gives no rows; a
 licence that occurs twice is listed once, its sentences are counted each time.
 """
 
@@ -59,27 +60,72 @@ SENTENCES = {
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl2_ref",
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc_grant",
     "This is free and unencumbered software released into the public domain.": "unlicense_ref",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.": "apache2_as_is",
+    "See the License for the specific language governing permissions and limitations under the License.": "apache2_see",
+    "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "apache2_terms",
+    "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.": "apache2_copyright_grant",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit_as_is",
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.": "mit_liability",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.": "bsd_as_is",
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.": "bsd_liability",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.": "gpl3_only",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "gpl2_only",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl2_only",
+    "GNU General Public License Version 2, June 1991": "gpl2_title",
+    "You should have received a copy of the GNU General Public License along with this program.": "gpl_copy",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl21_or_later",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "lgpl3_or_later",
+    "GNU Lesser General Public License Version 3, 29 June 2007": "lgpl3_title",
+    "GNU Lesser General Public License Version 2.1, February 1999": "lgpl21_title",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "agpl3_or_later",
+    "GNU Affero General Public License Version 3, 19 November 2007": "agpl3_title",
+    "Mozilla Public License Version 2.0": "mpl2_title",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "zero_bsd_grant",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "unlicense_grant",
+    "Creative Commons Legal Code CC0 1.0 Universal": "cc0_title",
 }
 # Licences by the sequence of identifiers that shows them; earlier rules go first.
 RULES = [
+    ("apache2_title apache2_terms apache2_copyright_grant", "Apache-2.0"),
+    ("apache2_full apache2_url apache2_as_is apache2_see", "Apache-2.0"),
+    ("apache2_grant apache2_comply apache2_url apache2_as_is apache2_see", "Apache-2.0"),
     ("apache2_grant apache2_comply apache2_url", "Apache-2.0"),
     ("apache2_full apache2_url", "Apache-2.0"),
     ("apache2_full", "Apache-2.0"),
     ("apache2_title", "Apache-2.0"),
     ("apache2_ref", "Apache-2.0"),
+    ("mit_title mit_grant mit_notice mit_as_is mit_liability", "MIT"),
+    ("mit_grant mit_notice mit_as_is mit_liability", "MIT"),
     ("mit_title mit_grant mit_notice", "MIT"),
     ("mit_grant mit_notice", "MIT"),
     ("mit_title", "MIT"),
     ("mit_ref", "MIT"),
+    ("bsd_grant bsd_source bsd_binary bsd_endorse bsd_as_is bsd_liability", "BSD-3-Clause"),
+    ("bsd_grant bsd_source bsd_binary bsd_as_is bsd_liability", "BSD-2-Clause"),
     ("bsd_grant bsd_source bsd_binary bsd_endorse", "BSD-3-Clause"),
     ("bsd_grant bsd_source bsd_binary", "BSD-2-Clause"),
     ("bsd3_ref", "BSD-3-Clause"),
     ("bsd2_ref", "BSD-2-Clause"),
+    ("gpl3_or_later gnu_no_warranty gpl_details gpl_copy", "GPL-3.0-or-later"),
+    ("gpl2_or_later gnu_no_warranty gpl_details gpl_copy", "GPL-2.0-or-later"),
+    ("gpl3_only gnu_no_warranty gpl_details gpl_copy", "GPL-3.0-only"),
+    ("gpl2_only gnu_no_warranty gpl_details gpl_copy", "GPL-2.0-only"),
+    ("gpl3_only gnu_no_warranty gpl_details", "GPL-3.0-only"),
+    ("gpl2_only gnu_no_warranty gpl_details", "GPL-2.0-only"),
     ("gpl3_or_later gnu_no_warranty gpl_details", "GPL-3.0-or-later"),
     ("gpl3_or_later", "GPL-3.0-or-later"),
     ("gpl2_or_later gnu_no_warranty gpl_details", "GPL-2.0-or-later"),
     ("gpl2_or_later", "GPL-2.0-or-later"),
+    ("gpl3_only", "GPL-3.0-only"),
+    ("gpl2_only", "GPL-2.0-only"),
     ("gpl3_title", "GPL-3.0-only"),
+    ("gpl2_title", "GPL-2.0-only"),
+    ("lgpl21_or_later", "LGPL-2.1-or-later"),
+    ("lgpl3_or_later", "LGPL-3.0-or-later"),
+    ("agpl3_or_later", "AGPL-3.0-or-later"),
+    ("lgpl21_title", "LGPL-2.1-only"),
+    ("lgpl3_title", "LGPL-3.0-only"),
+    ("agpl3_title", "AGPL-3.0-only"),
     ("gpl3_ref", "GPL-3.0-only"),
     ("lgpl3_ref", "LGPL-3.0-only"),
     ("agpl3_ref", "AGPL-3.0-only"),
@@ -88,15 +134,19 @@ RULES = [
     ("cc_by4_ref", "CC-BY-4.0"),
     ("cc0_ref", "CC0-1.0"),
     ("mpl2_ref", "MPL-2.0"),
+    ("mpl2_title", "MPL-2.0"),
     ("isc_grant", "ISC"),
+    ("zero_bsd_grant", "0BSD"),
+    ("unlicense_ref unlicense_grant", "Unlicense"),
+    ("cc0_title", "CC0-1.0"),
     ("unlicense_ref", "Unlicense"),
 ]
-#: Where a sentence ends: a mark before white space, or a blank line.
-CUT = r"[.!?][ \t\r\n]+|\n[ \t\r]*\n"
+#: Where a sentence ends: a mark before white space, or a line with nothing but white space and the marks of a comment.
+CUT = r"[.!?][ \t\r\n]+|\n[ \t\r#*/;%!-]*\n"
 #: The same, but not after the "v." of a version, as in "v. 2.0". No other known sentence is touched: none begins with a digit or ends in "v".
-CUT_WHOLE = r"(?:[!?]|(?<!\b[vV])\.|(?<=\b[vV])\.(?![^a-zA-Z0-9]*[0-9]))[ \t\r\n]+|\n[ \t\r]*\n"
+CUT_WHOLE = r"(?:[!?]|(?<!\b[vV])\.|(?<=\b[vV])\.(?![^a-zA-Z0-9]*[0-9]))[ \t\r\n]+|\n[ \t\r#*/;%!-]*\n"
 #: One of these is in every known sentence, whatever its case (checked on import).
-NEEDED = ["licens", "permission", "redistribut", "copyright", "endorse", "free software", "public domain", "warranty"]
+NEEDED = ["licens", "permission", "redistribut", "copyright", "endorse", "free software", "public domain", "warrant", "liable", "terms and conditions", "free to copy", "legal code"]
 
 
 #: Any of NEEDED in a text as it stands: the words of one may be a line, or a comment's mark, apart.
