@@ -3,20 +3,22 @@
 Each document has five measures (integers per thousand words, and the mean word length in hundredths). A sketch of a group
 is the histogram of a measure over bins of fixed relative width: values below 64 have a bin each, larger ones keep their six
 leading bits, so a quantile read from it is off by under 1/32, and two sketches merge by adding their counts. Counts are
-added in each task before anything is shuffled, so a hot group costs no more than a small one. Groups of fewer than
-min_group documents use their language's merged sketch, and languages as small as that the sketch of all.
+added in each task before anything is shuffled, so a hot group costs no more than a small one. What a small group lacks comes
+from the sketches above it: a language's is merged with that of all, scaled to `prior` documents, a group's with its language's, scaled
+alike. The larger a group, the less that counts; there is no size at which the rule changes.
 
 A document fails where a measure lies beyond median + spread * max(median - lower tail, floor): the tail on the clean side
 sets the width, so junk at the other end can't widen it. Word length is bounded on both sides. The bounds are joined back
 to the documents, which fail or stay. Built-in functions alone, a row stays a row: only measures are shuffled, never text.
 
-Cases: null text has no words and fails; null language or source is a group of its own; repeated rows count as often as
-they occur; ties are equal values and share a verdict; an empty table gives no rows.
+Cases: null text has no words and fails; a null doc_id is a document like others; null language or source is a group of its own;
+repeated rows count as often as they occur; ties are equal values and share a verdict; very long texts are measured whole, within
+their row; other columns, whatever their names, are not looked at but those of `keep`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import SPACE, columns, kept_columns, words_of, written
@@ -31,7 +33,9 @@ MEASURES = {
 }
 BASE = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 #: Quantiles read from a sketch, in thousandths.
-LOW, MIDDLE, HIGH = 100, 500, 900
+LOW, MIDDLE = 100, 500
+#: Parts that a document counts for in merged sketches.
+UNIT = 1_000_000
 #: Groups (rows of eleven numbers) up to which their bounds are broadcast.
 SMALL = 10_000
 
@@ -80,41 +84,43 @@ def _reached(rank: Column) -> Column:
     return F.aggregate("bins", nothing, add)
 
 
-def thresholds(rows: DataFrame, spread: int, min_group: int) -> DataFrame:
-    """Per language and source (lang, source) the bounds of each measure, from the sketch of the smallest large-enough group."""
+def thresholds(rows: DataFrame, spread: int, prior: int) -> DataFrame:
+    """Per language and source (lang_0, source_0) the bounds of each measure, from its sketch merged with those above it."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in MEASURES]))
     sketch = rows.where("n_words > 0").select("lang", "source", pairs.alias("x")).groupBy("lang", "source", "x.measure", "x.bin").agg(F.count("*").alias("n"))
     sketch = written(sketch)
-    quantiles = []
-    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
-        merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-        by_bin = F.array_sort(F.collect_list(F.struct("bin", "n")))  # of one sketch: bounded by its bins
-        one = merged.groupBy(*keys, "measure").agg(by_bin.alias("bins"), F.sum("n").alias("total"))
-        for name, q in (("low", LOW), ("middle", MIDDLE), ("high", HIGH)):
-            # The first bin by which q of the documents are reached.
-            rank = F.ceil(F.lit(q) * F.col("total") / F.lit(1000))
-            one = one.withColumn(name, _reached(rank)["at"])
-        quantiles.append(one.select(*[F.col(k).alias(f"{k}_{level}") for k in keys], F.col("measure").alias(f"measure_{level}"), *[F.col(c).alias(f"{c}_{level}") for c in ("total", "low", "middle", "high")]))
-    fine, lang, every = quantiles
-    joined = fine.join(lang, (F.col("measure_0") == F.col("measure_1")) & F.col("lang_0").eqNullSafe(F.col("lang_1"))).join(every, F.col("measure_0") == F.col("measure_2"))
-
-    def chosen(c: str) -> Column:
-        return F.when(F.col("total_0") >= min_group, F.col(f"{c}_0")).when(F.col("total_1") >= min_group, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
-
-    least = F.create_map(*[x for m, (_, floor, _) in MEASURES.items() for x in (F.lit(m), F.lit(floor))])[F.col("measure_0")]
-    two_sided = F.col("measure_0").isin([m for m, v in MEASURES.items() if v[2]])
-    joined = joined.select("lang_0", "source_0", F.col("measure_0").alias("measure"), *[chosen(c).alias(c) for c in ("low", "middle", "high")], least.alias("least"), two_sided.alias("two"))
+    # In parts of UNIT: what a bin of the sketch above adds, of all documents and then of the language's merged sketch.
+    every = sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    every = every.select(F.col("measure").alias("m2"), "bin", F.expr(f"n * {UNIT} div sum(n) OVER (PARTITION BY measure)").alias("p2"))
+    by_lang = sketch.groupBy(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("bin").alias("b")).agg(F.sum("n").alias("n"))
+    langs = sketch.select("lang", "measure").distinct().join(F.broadcast(every), F.col("measure") == F.col("m2"))  # a few hundred bins a measure
+    langs = langs.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")) & (F.col("bin") == F.col("b")), "left")
+    langs = langs.select(F.col("lang").alias("lang_1"), F.col("measure").alias("m1"), "bin", (F.coalesce("n", F.lit(0)) * UNIT + prior * F.col("p2")).alias("w"))
+    share = F.col("w").cast("double") / F.sum("w").over(Window.partitionBy("lang_1", "m1")).cast("double")
+    langs = langs.select("lang_1", "m1", "bin", F.floor(share * F.lit(float(UNIT))).cast("long").alias("p1"))
+    fine = sketch.select("lang", "source", "measure").distinct().join(langs, F.col("lang").eqNullSafe(F.col("lang_1")) & (F.col("measure") == F.col("m1")))
+    own = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("measure").alias("m"), F.col("bin").alias("b"), "n")
+    fine = fine.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("measure") == F.col("m")) & (F.col("bin") == F.col("b")), "left")
+    fine = fine.select("lang", "source", "measure", "bin", (F.coalesce("n", F.lit(0)) * UNIT + prior * F.col("p1")).alias("n"))
+    by_bin = F.array_sort(F.collect_list(F.struct("bin", "n")))  # of one sketch: bounded by its bins
+    joined = fine.groupBy(F.col("lang").alias("lang_0"), F.col("source").alias("source_0"), "measure").agg(by_bin.alias("bins"), F.sum("n").alias("total"))
+    for name, q in (("low", LOW), ("middle", MIDDLE)):
+        # The first bin by which q thousandths are reached.
+        joined = joined.withColumn(name, _reached(F.ceil(F.lit(q) * F.col("total") / F.lit(1000)))["at"])
+    least = F.create_map(*[x for m, (_, floor, _) in MEASURES.items() for x in (F.lit(m), F.lit(floor))])[F.col("measure")]
+    two_sided = F.col("measure").isin([m for m, v in MEASURES.items() if v[2]])
+    joined = joined.select("lang_0", "source_0", "measure", "low", "middle", least.alias("least"), two_sided.alias("two"))
     above = F.col("middle") + F.lit(spread) * F.greatest(F.col("middle") - F.col("low"), "least")
     below = F.when(F.col("two"), F.col("middle") - F.lit(spread) * F.greatest(F.col("middle") - F.col("low"), "least")).otherwise(F.lit(-1))
     named = [F.max(F.when(F.col("measure") == m, x)).alias(f"{m}_{n}") for m in MEASURES for n, x in (("above", above), ("below", below))]
     return joined.groupBy("lang_0", "source_0").agg(*named)
 
 
-def judge(docs: DataFrame, *, spread: int = 3, min_group: int = 100, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, *, spread: int = 3, prior: int = 100, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the base counts, the measures, base_failed, failed (names of the adaptive rules), kept; then the columns of `keep`."""
     rows = measured(docs, id_col, text_col, lang_col, source_col, keep=keep)
     rows = written(rows.select("*", *[F.expr(f"({up}) div greatest(n_words, 1)").alias(m) for m, (up, _, _) in MEASURES.items()]))
-    bounds = written(thresholds(rows, spread, min_group))
+    bounds = written(thresholds(rows, spread, prior))
     if bounds.limit(SMALL + 1).count() <= SMALL:  # else the join is Spark's to choose
         bounds = F.broadcast(bounds)
     out = rows.join(bounds, rows["lang"].eqNullSafe(bounds["lang_0"]) & rows["source"].eqNullSafe(bounds["source_0"]), "left")
