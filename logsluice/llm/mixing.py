@@ -7,11 +7,14 @@ the null-space of the balancing constraints (number of documents, number of word
 for two documents at most in each bucket. What is left over from all buckets flies again, in fewer buckets, until one
 bucket per source is left. There a dozen documents are the landing problem: all ways to decide them are compared.
 
-Buckets are made by a hash of the document, so a hot source is spread over as many as its size asks for. All randomness is a hash of the documents and the seed:
-reruns agree, whatever the partitions.
+Buckets are made by a hash of the document and of its number among equal ones, so a hot source, or a document that occurs
+a million times, is spread over as many as its size asks for. All randomness is a hash of these and the seed: reruns agree, whatever
+the partitions.
 
 Cases: null text has size 0; null source is a source, the last; an empty source (no words) has target 0; null ids and repeated
-rows are documents of their own; equal documents are told apart by nothing and are interchangeable; an empty table gives no rows.
+rows are documents of their own; equal documents are told apart by nothing and are interchangeable; a very long text is one
+document, and its source comes as near to its target as that allows; other columns, whatever their names, are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import WORD, columns, mix64, written
@@ -37,18 +40,16 @@ NEAR = 1e-9
 
 def targets(sizes: list[float], weights: list[float], share: float, max_repeat: float) -> list[float]:
     """share of all sizes dealt by weight; what is above max_repeat times a size is dealt again among the others."""
-    out, free, left = [0.0] * len(sizes), [i for i in range(len(sizes))], share * sum(sizes)
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > max_repeat * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
+    out, left, total = [0.0] * len(sizes), share * sum(sizes), sum(weights)
+    # The smaller a source beside its weight, the sooner it is full; once one is not, none of the rest is.
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i] / weights[i], i))
+    for k, i in enumerate(order):
+        if left * weights[i] <= max_repeat * sizes[i] * total:
+            for j in order[k:]:
+                out[j] = left * weights[j] / total
             break
-        for i in over:
-            out[i] = max_repeat * sizes[i]
-            left -= out[i]
-        free = [i for i in free if i not in set(over)]
+        out[i] = max_repeat * sizes[i]
+        left, total = left - out[i], total - weights[i]
     return out
 
 
@@ -117,6 +118,20 @@ def _fly(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     return dealt.groupBy("source", "bucket").applyInPandas(run, "key long, doc_id long, row long, source string, size long, copies long, p double")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with the number of each among those of its key (from 0, in any order) taken into the key.
+
+    Rows are numbered within their partition and key; a key's partitions hand each other their counts, so no key is one task's.
+    """
+    own = rows.withColumn("part", F.spark_partition_id())
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("part", "key").orderBy("row")) - 1)
+    counts = own.groupBy("key", "part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), before.alias("before")).where("before > 0")
+    out = own.join(counts, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")), "left")
+    return written(out.select("doc_id", "row", "source", "size", F.xxhash64("key", (F.col("nth") + F.coalesce("before", F.lit(0))).cast("long")).alias("key")))
+
+
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeat: float = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's), copies, taken (copies * size).
 
@@ -126,14 +141,15 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     spark = docs.sparkSession
     sized = columns(docs, doc_id=(id_col, "long"), source=(source_col, "string"), text=(text_col, "string"), **({"row": (row_col, "long")} if row_col else {}))
     sized = sized if row_col else sized.withColumn("row", F.lit(0).cast("long"))
-    sized = written(sized.select("doc_id", "row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sized = written(sized.select("doc_id", "row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "source", "text").alias("key")))
+    sized = _numbered(sized)
     of = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     of.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     goal = targets([float(r["s"]) for r in of], [float(weights[i % len(weights)]) for i in range(len(of))], share, max_repeat)
     plan = spark.createDataFrame([(r["source"], r["s"], t, t / r["s"] if r["s"] else 0.0) for r, t in zip(of, goal, strict=True)], "of string, source_size long, target double, rate double")
     plan = F.broadcast(plan) if len(of) <= SMALL else plan
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).select(
-        F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size").alias("key"), "doc_id", "row", "source", "size",
+        "key", "doc_id", "row", "source", "size",
         F.floor("rate").cast("long").alias("copies"), (F.col("rate") - F.floor("rate")).alias("p"),
     )
     kind = "of string, n long"
