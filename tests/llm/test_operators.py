@@ -158,6 +158,30 @@ def test_a_version_does_not_end_a_sentence_elsewhere(spark):
     assert got == {1: ["MPL-2.0"], 2: ["MIT"], 3: ["MIT"]}
 
 
+def whole(*ids):
+    text = {}
+    for sentence, i in license_scan.SENTENCES.items():
+        text.setdefault(i, sentence)
+    return [text[i] for i in ids]
+
+
+def test_whole_licences_and_their_versions(spark):
+    gpl = ("gnu_no_warranty", "gpl_details", "gpl_copy")
+    wanted = {
+        "MIT": whole("mit_title", "mit_grant", "mit_notice", "mit_as_is", "mit_liability"), "BSD-3-Clause": whole("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is", "bsd_liability"),
+        "BSD-2-Clause": whole("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_liability"), "Apache-2.0": whole("apache2_full", "apache2_url", "apache2_as_is", "apache2_see"),
+        "GPL-3.0-or-later": whole("gpl3_or_later", *gpl), "GPL-3.0-only": whole("gpl3_only", *gpl), "GPL-2.0-or-later": whole("gpl2_or_later", *gpl), "GPL-2.0-only": whole("gpl2_only", *gpl),
+        "LGPL-2.1-or-later": whole("lgpl21_or_later"), "LGPL-3.0-or-later": whole("lgpl3_or_later"), "AGPL-3.0-or-later": whole("agpl3_or_later"), "MPL-2.0": whole("mpl2_title"), "0BSD": whole("zero_bsd_grant"),
+    }
+    rows, names = [], list(wanted)
+    for k, name in enumerate(names):
+        paragraphs = wanted[name]
+        rows += [(10 * k, "\n\n".join(paragraphs)), (10 * k + 1, "#\n".join("# " + p.replace(", ", ",\n# ") + "\n" for p in paragraphs)), (10 * k + 2, "/*\n *\n" + " *\n".join(" * " + p + "\n" for p in paragraphs) + " */")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r["licenses"] for d, r in got.items()} == {d: [names[d // 10]] for d, _ in rows}
+    assert not any(r["unmatched"] for r in got.values())
+
+
 def test_licences_over_odd_documents(odd):
     assert ids_of(license_scan.scan(odd)) == ODD_IDS
 
@@ -295,14 +319,30 @@ def test_quality_sketches_merge_and_adapt(spark):
 
 def test_recompression_names_equal_passages_alike():
     rng = np.random.default_rng(1)
-    for kinds in (3, 50, 10**6):
+    for kinds in (1, 2, 3, 50, 10**6):
         inner = common.mix64(rng.integers(0, kinds, 50).astype(np.uint64))
-        found = []
-        for _ in range(2):
-            words = np.concatenate([common.mix64(rng.integers(0, kinds, 30).astype(np.uint64)), inner, common.mix64(rng.integers(0, kinds, 30).astype(np.uint64))])
-            symbols, of, at = substring_dedup.anchors(words, np.array([len(words)]), 50)
-            found.append({(int(s), int(a) - 30) for s, a in zip(symbols, at, strict=True)})
-        assert found[0] & found[1], kinds
+        found, sizes = [], []
+        for _ in range(3):
+            sides = [common.mix64(rng.integers(0, kinds, rng.integers(0, 40)).astype(np.uint64)) for _ in range(2)]
+            words = np.concatenate([sides[0], inner, sides[1]])
+            got = substring_dedup.anchors(words, np.array([len(words)]), 50)
+            at = got.at - len(sides[0])
+            inside = (at >= 0) & (at + got.span <= 50)
+            found.append({(int(n), int(c), int(a), int(s)) for n, c, a, s in zip(got.name[inside], got.check[inside], at[inside], got.span[inside], strict=True)})
+            sizes += got.words.tolist()
+        assert found[0] & found[1] & found[2], kinds
+        assert kinds < 50 or np.mean(sizes) > 6
+
+
+def test_symbols_depend_on_their_context_alone():
+    rng = np.random.default_rng(2)
+    for kinds in (2, 4, 1000):
+        words = common.mix64(rng.integers(0, kinds, 300).astype(np.uint64))
+        whole = substring_dedup.symbols(words, np.array([300]), 50)
+        for begin, end in ((0, 300), (37, 260), (100, 190)):
+            part = substring_dedup.symbols(words[begin:end], np.array([end - begin]), 50)
+            of = lambda x, shift, lo, hi: {(int(n), int(s) + shift, int(e) + shift, int(l) + shift, int(r) + shift) for n, s, e, l, r in zip(x.name, x.start, x.end, x.left, x.right, strict=True) if l + shift >= lo and r + shift <= hi}  # noqa: E731, E741
+            assert of(whole, 0, begin, end) == of(part, begin, begin, end)
 
 
 def test_substrings_against_brute_force(spark, odd, empty):
@@ -409,8 +449,8 @@ def test_jaccard_over_odd_documents(spark, odd, empty):
     assert jaccard_join.link(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_in_small_parts(spark, seed):
+@pytest.mark.parametrize("seed,thin", [(1, 20), (2, 10_000)])
+def test_jaccard_in_small_parts(spark, seed, thin):
     rng = random.Random(seed)
     rows = {}
     for _ in range(10):
@@ -423,7 +463,7 @@ def test_jaccard_in_small_parts(spark, seed):
     common_words = " ".join(f"c{k}" for k in range(40))
     for _ in range(60):
         rows[rng.randrange(10**6)] = " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([8, 10, 14, 30]))) + " " + common_words
-    old, jaccard_join.PART_DOCS, jaccard_join.THIN = (jaccard_join.PART_DOCS, jaccard_join.THIN), 10, 20
+    old, jaccard_join.PART_DOCS, jaccard_join.THIN = (jaccard_join.PART_DOCS, jaccard_join.THIN), 10, thin
     try:
         got = jaccard_join.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)).collect()
     finally:
@@ -492,3 +532,19 @@ def test_digest_columns(spark, sf_small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     want = {(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in H.removed(rows)}
     assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.QUERIES["op6_substring_dedup"](spark, sf_small).collect()} == want
+
+
+def test_thinning_keeps_every_document_with_a_partner():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        sets = []
+        for _ in range(25):
+            base = rng.integers(0, 2**62, rng.choice([1, 3, 15, 17, 60, 70, 300])).astype(np.uint64)
+            for _ in range(rng.integers(1, 4)):
+                s = np.concatenate([base, rng.integers(0, 2**62, rng.integers(0, len(base) // 3 + 1)).astype(np.uint64)])
+                sets.append(np.unique(s))
+        sizes = np.array([len(s) for s in sets])
+        maps = [jaccard_join.bitmaps(s, np.array([len(s)]), jaccard_join.bits_of(np.array([len(s)]))) for s in sets]
+        kept = jaccard_join.partnered(maps, sizes, 75)
+        linked = lambda percent: {x for a in range(len(sets)) for b in range(a) if jaccard_join.similar(sets[a], sets[b], percent) for x in (a, b)}  # noqa: E731, B023
+        assert linked(75) <= set(np.flatnonzero(kept).tolist()) and kept.sum() <= len(linked(55)) + 6
