@@ -532,19 +532,3 @@ def test_digest_columns(spark, sf_small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     want = {(d, n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in H.removed(rows)}
     assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.QUERIES["op6_substring_dedup"](spark, sf_small).collect()} == want
-
-
-def test_thinning_keeps_every_document_with_a_partner():
-    rng = np.random.default_rng(11)
-    for _ in range(20):
-        sets = []
-        for _ in range(25):
-            base = rng.integers(0, 2**62, rng.choice([1, 3, 15, 17, 60, 70, 300])).astype(np.uint64)
-            for _ in range(rng.integers(1, 4)):
-                s = np.concatenate([base, rng.integers(0, 2**62, rng.integers(0, len(base) // 3 + 1)).astype(np.uint64)])
-                sets.append(np.unique(s))
-        sizes = np.array([len(s) for s in sets])
-        maps = [jaccard_join.bitmaps(s, np.array([len(s)]), jaccard_join.bits_of(np.array([len(s)]))) for s in sets]
-        kept = jaccard_join.partnered(maps, sizes, 75)
-        linked = lambda percent: {x for a in range(len(sets)) for b in range(a) if jaccard_join.similar(sets[a], sets[b], percent) for x in (a, b)}  # noqa: E731, B023
-        assert linked(75) <= set(np.flatnonzero(kept).tolist()) and kept.sum() <= len(linked(55)) + 6
