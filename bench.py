@@ -27,7 +27,7 @@ LOAD = r"""
 sampling: {default_target: 100, rules: [{match: {namespace: library}, target: 25}]}
 redaction:
   regex_rules:
-    - {name: mailbox, pattern: '[a-z0-9]+(?:[._-][a-z0-9]+)*@[a-z0-9-]+(?:\.[a-z0-9-]+)+', mask: "<mailbox>", fields: [body]}
+    - {name: mailbox, pattern: '[a-z0-9._-]{1,64}@[a-z0-9.-]{3,255}', mask: "<mailbox>", fields: [body]}
     - {name: private_host, pattern: '\b(?:10|172|192)\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', mask: "<host>", fields: [body]}
     - {name: session, pattern: 'session=[a-z0-9]{4,40}', mask: "session=<gone>", fields: [body]}
     - {name: password, pattern: '(?:password|passwd)[ ]?[:=][ ]?[^ ]+', mask: "password=<gone>", fields: [body]}
