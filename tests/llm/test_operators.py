@@ -471,6 +471,17 @@ def test_jaccard_in_small_parts(spark, seed, thin):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == H.jaccard(list(rows.items()))
 
 
+def test_jaccard_of_rows_that_share_an_id(spark):
+    def text(prefix, k=40):
+        return " ".join(f"{prefix}{i}" for i in range(k))
+
+    # 7 is a copy of 3 by one row and close to 9 by another, of equal and of other size; 20 joins two groups, and 30 has no other.
+    rows = [(3, text("a")), (7, text("a")), (7, text("b")), (9, text("b", 41)), (7, text("c", 90)), (12, text("c", 91)), (20, text("d")), (21, text("d", 41))]
+    rows += [(20, text("e")), (19, text("e")), (30, text("f")), (30, text("g")), (30, None), (None, text("a")), (None, text("g")), (40, None), (41, "one"), (41, "two"), (42, "two")]
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == H.jaccard(rows)
+
+
 def test_traversal_finds_the_same_components():
     rng = np.random.default_rng(8)
     sets = []
