@@ -482,6 +482,44 @@ def test_jaccard_of_rows_that_share_an_id(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == H.jaccard(rows)
 
 
+def test_jaccard_of_copies_in_many_tasks(spark, monkeypatch):
+    """Copies make no more candidates than one of them, and texts of documents in no tree stay where they are."""
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(40)]
+    texts += [[*t[:-1], "other"] for t in texts[:10]]
+    one = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    many = [(k + 50 * v, t) for v in range(12) for k, t in one]
+    members, sent = [], []
+    plant, pack = jaccard_join._members, jaccard_join.packed_rows
+
+    def planted(*args):
+        out = plant(*args)
+        members.append(out.count())
+        return out
+
+    def packed(df):
+        sent.append(df.count())
+        return pack(df)
+
+    monkeypatch.setattr(jaccard_join, "_members", planted)
+    monkeypatch.setattr(jaccard_join, "packed_rows", packed)
+    alone, got = (sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()) for rows in (one, many))
+    assert alone == [(k, k - 40 if k >= 40 else k) for k in range(50)]
+    assert got == [(d, dict(alone)[d % 50]) for d in range(600)]
+    assert members[0] == members[1] == 20
+    assert sent == [20, 20]
+
+
+def test_maybe_among_misses_none(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id") - 9_000).alias("doc_id"), F.lit("x").alias("text"))
+    for ids in (df.where("doc_id % 5 = 0"), df.where("doc_id IS NULL"), df.limit(0)):
+        got = common.maybe_among(df, ids.select("doc_id"))
+        assert got.columns == ["doc_id", "text", "may_"] and got.count() == 20_000
+        found = {r["doc_id"] for r in got.where("may_").collect()}
+        want = {r["doc_id"] for r in ids.where("doc_id IS NOT NULL").collect()}
+        assert want <= found and None not in found and len(found - want) <= len(want) // 2
+
+
 def test_traversal_finds_the_same_components():
     rng = np.random.default_rng(8)
     sets = []
