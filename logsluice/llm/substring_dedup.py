@@ -41,6 +41,8 @@ LEVELS = 9
 WIDEST = 250
 #: Bytes of text in a bucket, about.
 BUCKET_BYTES = 64 << 20
+#: Bytes of text whose symbols are in memory at a time, and those whose anchors are settled together, about.
+STEP, SETTLED = 1 << 20, 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,6 +153,16 @@ def anchors(words: np.ndarray, counts: np.ndarray, window: int) -> Anchors:
     return Anchors(all_.name, check, doc, all_.left - first[doc], all_.right - all_.left, all_.end - all_.start)
 
 
+def anchors_of(texts: pa.RecordBatch, window: int) -> Anchors:
+    """The anchors of rows (doc_id, text). Symbols take some fifty times the memory of their text, so they are made for a few texts at a time."""
+    parts, row = [], 0
+    for part in in_slices(texts, 1, STEP):
+        got = anchors(*word_hashes(*joined(part.column(1))), window)
+        parts.append(got._replace(of=got.of + row))
+        row += len(part)
+    return Anchors(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return (mix64(x.astype(np.uint64) + np.uint64(77)) % np.uint64(n)).astype(np.int64)
 
@@ -187,9 +199,8 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     @frugal
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in in_slices(whole, 1, 1 << 22):
-                words, counts = word_hashes(*joined(batch.column(1)))
-                got = anchors(words, counts, window)
+            for batch in in_slices(whole, 1, SETTLED):
+                got = anchors_of(batch, window)
                 doc = batch.column(0).to_numpy(zero_copy_only=False)[got.of]
                 at, span = got.at.astype(np.int32), got.span.astype(np.uint8)
                 shared, _, leads = _settled(got.name, got.check, doc)
@@ -215,7 +226,7 @@ def removable(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         some = [(d, t) for p in texts["payload"].to_pylist() for d, t in zip(*unpacked([p], 2), strict=True) if d in active]
         whole = pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([t for _, t in some], pa.string())], names=["doc_id", "text"])
         windows = []
-        for part in in_slices(whole, 1, 1 << 22):
+        for part in in_slices(whole, 1, STEP):
             ids = part.column(0).to_numpy()
             words, counts = word_hashes(*joined(part.column(1)))
             begin = np.cumsum(counts) - counts
@@ -265,17 +276,20 @@ def remove(docs: DataFrame, *, window: int = 50, buckets: int | None = None, id_
     # Documents without an id go to any bucket, whatever their text.
     bucket = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")), F.lit(buckets)).cast("int").alias("bucket")
     fields = df.select("doc_id", *[f"keep_{i}" for i in range(len(keep))]).schema
-    dealt = packed_rows(df.select(bucket, "text", *fields.names))
+    # A kept column that is the text itself is not sent a second time.
+    same = [f"keep_{i}" for i, c in enumerate(keep) if c == text_col and fields[f"keep_{i}"].dataType == df.schema["text"].dataType]
+    sent = [f for f in fields.names if f not in same]
+    dealt = packed_rows(df.select(bucket, "text", *sent))
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_removed long", "kept string"])
 
-    kinds = [x.type for x in to_arrow_schema(fields)]
+    names, kinds = fields.names, [x.type for x in to_arrow_schema(fields)]
 
     @frugal
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         doc_a, at = received(found["payload"].to_pylist(), "<i8", "<i4")
         order = np.lexsort((at, doc_a))
         doc_a, at = doc_a[order], at[order].astype(np.int64)
-        rows = unpacked(texts["payload"].to_pylist(), 1 + len(fields))
+        rows = unpacked(texts["payload"].to_pylist(), 1 + len(sent))
         known = [d is not None for d in rows[1]]
         ids = np.array([d or 0 for d in rows[1]], dtype=np.int64)
         lo, hi = np.searchsorted(doc_a, ids), np.searchsorted(doc_a, ids, side="right")
@@ -293,7 +307,8 @@ def remove(docs: DataFrame, *, window: int = 50, buckets: int | None = None, id_
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        arrays = {f.name: pa.array(v, kind) for f, v, kind in zip(fields, rows[1:], kinds, strict=True)}
+        carried = dict(zip(sent, rows[1:], strict=True)) | dict.fromkeys(same, rows[0])
+        arrays = {name: pa.array(carried[name], kind) for name, kind in zip(names, kinds, strict=True)}
         return pa.Table.from_pydict(arrays | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     found = removable(df.select("doc_id", "text"), window, buckets)

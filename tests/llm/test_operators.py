@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +370,33 @@ def test_substrings_in_random_texts(spark, kinds, seed):
 # --- 8: mixing
 
 
+def test_anchors_of_few_texts_at_a_time():
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(600)) for _ in range(1000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(1000), pa.int64()), "text": pa.array([*texts[:-1], None], pa.string())})
+    whole = substring_dedup.anchors(*common.word_hashes(*common.joined(batch.column(1))), 50)
+    tracemalloc.start()
+    got = substring_dedup.anchors_of(batch, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((x == y).all() for x, y in zip(got, whole, strict=True)) and peak < 100e6
+
+
+def test_a_kept_text_is_sent_once(spark, monkeypatch):
+    sent, pack = [], substring_dedup.packed_rows
+
+    def packed(df):
+        sent.append([f.dataType.simpleString() for f in df.schema])
+        return pack(df)
+
+    monkeypatch.setattr(substring_dedup, "packed_rows", packed)
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, f"{passage} one", "en"), (2, f"two  {passage}", None), (3, None, "de")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in substring_dedup.remove(df, keep=("lang", "text")).collect()}
+    assert [(r["text"], r["lang"], r["kept"]) for _, r in sorted(got.items())] == [(f"{passage} one", "en", f"{passage} one"), (f"two  {passage}", None, "two"), (None, "de", "")]
+    assert sent[0].count("string") == 2  # text and lang
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 1.5, 2) == pytest.approx([200, 500 / 3, 250 / 3])
     assert mixing.targets([], [], 1.5, 2) == []
