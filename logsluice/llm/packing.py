@@ -14,17 +14,24 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import columns, frugal
+from logsluice.llm.common import columns, frugal, trim
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 #: The split into pieces that byte-level BPE files with "use_regex" mean (a fixed, published value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+#: Ids in a batch of pieces, about: a batch takes several times its size, in the worker and in the JVM that reads it.
+SENT = 1 << 18
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -35,13 +42,13 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them; where the file allows, by tiktoken, which is three times as fast."""
+    """Ids of texts as the tokenizers library gives them; where the file allows, by tiktoken, which is three times as fast.
 
-    def __init__(self, file: str) -> None:
-        from tokenizers import Tokenizer
+    The library's own tokenizer takes as much memory again, so it is made only when a text needs it.
+    """
 
-        self.exact = Tokenizer.from_str(file)
-        self.fast, self.special = None, []
+    def __init__(self, file: str) -> None:
+        self.file, self.fast, self.special = file, None, []
         spec = json.loads(file)
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
@@ -56,6 +63,12 @@ class Encoder:
                 ranks = {bytes(of[c] for c in w): i for w, i in model["vocab"].items() if w not in self.special}
                 self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self) -> Tokenizer:
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.file)
+
     def ids(self, text: str) -> list[int]:
         if self.fast and not any(s in text for s in self.special):
             try:
@@ -87,6 +100,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, max_len: int = 2048, end_id: i
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(file.value)
+            trim()
             out: list[list] = [[], [], [], [], []]
             held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -98,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_file: str, *, max_len: int = 2048, end_id: i
                         values.append(x)
                     at += n
                 held += at
-                if held >= 1 << 21:
+                if held >= SENT:
                     yield _batch(out)
                     out, held = [[], [], [], [], []], 0
             if out[0]:

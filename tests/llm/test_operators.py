@@ -294,6 +294,26 @@ def test_fast_encoder_is_the_exact_one():
         assert encoder.ids(t) == encoder.exact.encode(t, add_special_tokens=False).ids
 
 
+def test_exact_encoder_is_made_when_a_text_needs_it():
+    encoder = packing.Encoder(open(queries.tokenizer_file(), encoding="utf-8").read())
+    assert encoder.ids("plain text") and "exact" not in vars(encoder)
+    assert encoder.ids("<|endoftext|> is a mark") == encoder.exact.encode("<|endoftext|> is a mark", add_special_tokens=False).ids
+
+
+def test_packing_sends_pieces_in_small_batches(odd, monkeypatch):
+    runs, map_in_arrow = [], type(odd).mapInArrow
+    monkeypatch.setattr(type(odd), "mapInArrow", lambda self, f, schema: runs.append(f) or map_in_arrow(self, f, schema))
+    packing.pack(odd, queries.tokenizer_file())
+    text = " ".join(f"w{i}" for i in range(500))
+    pool = pa.default_memory_pool()
+    try:
+        got = list(runs[0](iter([pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array([text] * 800)], names=["doc_id", "text"])])))
+    finally:
+        pa.set_memory_pool(pool)
+    n = [sum(b.column(2).to_pylist()) for b in got]
+    assert sum(n) == 800 * got[0].column(3)[0].as_py() and max(n) < packing.SENT + 2048
+
+
 # --- 5: quality rules
 
 
