@@ -559,6 +559,43 @@ def test_jaccard_of_copies_in_many_tasks(spark, monkeypatch):
     assert sent == [20, 20]
 
 
+@pytest.mark.parametrize("copies,most", [(12, 5), (24, 7)])
+def test_jaccard_of_near_copies_moves_little(spark, monkeypatch, copies, most):
+    """Near copies are not moved once for each two of them; those that are only close enough to some of the others are still linked."""
+    rng = random.Random(7)
+    rows = {}
+    for base in range(20):
+        words = [f"{rng.randrange(1 << 24):06x}" for _ in range(300)]
+        for copy in range(copies):
+            near = list(words)
+            for _ in range(rng.choice([2, 3, 3, 8]) if copy else 0):
+                near[rng.randrange(300)] = f"x{rng.randrange(99999):05d}"
+            rows[base + 100 * copy] = " ".join(near)
+    df = common.written(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4))
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    monkeypatch.setattr(jaccard_join, "SLICE_TOKENS", 1, raising=False)
+    before = shuffled()
+    got = jaccard_join.link(df).collect()
+    moved = shuffled() - before
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == H.jaccard(list(rows.items()))
+    assert moved < most * sum(map(len, rows.values()))
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    setting = spark.conf.get(common.CLEANUP, None)
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = folder.getAllFiles().size()
+    got = common.written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert got.count() == 7 and spark.conf.get(common.CLEANUP, None) == setting
+    assert folder.getAllFiles().size() <= before + 6
+
+
 def test_maybe_among_misses_none(spark):
     df = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id") - 9_000).alias("doc_id"), F.lit("x").alias("text"))
     for ids in (df.where("doc_id % 5 = 0"), df.where("doc_id IS NULL"), df.limit(0)):
